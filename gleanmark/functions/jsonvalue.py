@@ -108,3 +108,28 @@ def shown(value: Column) -> Column:
             F.lit("]"),
         ),
     ).otherwise(shown_scalar(value))
+
+
+def pretty(compact: Column, indent: int = 2) -> Column:
+    """JSON text laid out over lines with ``indent`` spaces per level."""
+    token = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|\{\s*\}|\[\s*\]|[{}\[\],:]|[^\s{}\[\],:"]++'
+    tokens = F.regexp_extract_all(compact, F.lit(token), F.lit(0))
+
+    def newline(depth: Column) -> Column:
+        return F.concat(F.lit("\n"), F.repeat(F.lit(" "), depth * indent))
+
+    def step(state: Column, tok: Column) -> Column:
+        depth = state["depth"] + F.when(tok.isin("{", "["), 1).when(tok.isin("}", "]"), -1).otherwise(0)
+        piece = (
+            F.when(tok.isin("{", "[", ","), F.concat(tok, newline(depth)))
+            .when(tok.isin("}", "]"), F.concat(newline(depth), tok))
+            .when(tok == ":", F.lit(": "))
+            .when(tok.rlike(r"^[{\[]"), F.regexp_replace(tok, r"\s+", ""))
+            .otherwise(tok)
+        )
+        return F.struct(
+            depth.alias("depth"), F.concat(state["out"], F.array(piece)).alias("out")
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.expr("cast(array() as array<string>)").alias("out"))
+    return F.aggregate(tokens, start, step, lambda s: F.array_join(s["out"], ""))
