@@ -42,16 +42,29 @@ def kind(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+    """Shallow test: asking an object for one member never reads the others."""
+    return F.try_variant_get(value, "$", "struct<`?` variant>").isNotNull()
 
 
 def is_array(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("ARRAY"), F.lit(False))
+    """Shallow test for arrays; only an empty one needs the second look."""
+    return (
+        F.try_variant_get(value, "$[0]", "variant").isNotNull()
+        | F.try_variant_get(value, "$", "array<variant>").isNotNull()
+    )
 
 
 def is_nonempty_object(value: Column) -> Column:
-    shape = kind(value)
-    return F.coalesce(shape.startswith("OBJECT") & (shape != "OBJECT<>"), F.lit(False))
+    return is_object(value) & (F.to_json(value) != "{}")
+
+
+def fields(value: Column, *names: str) -> Column:
+    """Several members of an object in one look; NULL for anything else.
+
+    As with ``get``, absent members are NULL and JSON null is a VARIANT null.
+    """
+    listed = ",".join(f"`{name}` variant" for name in names)
+    return F.try_variant_get(value, "$", f"struct<{listed}>")
 
 
 def is_null(value: Column) -> Column:

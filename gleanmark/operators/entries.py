@@ -29,19 +29,22 @@ def _cells(record: Column, grp: str, side: int) -> Column:
         source = J.get(record, V.OTHER)
         key_names, value_names = (V.PARAMETER,), V.OTHER_VALUE_KEYS
 
-    def cell(item: Column, pos: Column) -> Column:
-        unit = F.lit(None).cast("variant") if grp == "mass" else J.get(item, V.UNIT)
+    names = (*key_names, *value_names, V.UNIT)
+
+    def cell(member: Column, pos: Column) -> Column:
+        first = lambda keys: F.coalesce(*[member["m"][key] for key in keys])
+        unit = F.lit(None).cast("variant") if grp == "mass" else member["m"][V.UNIT]
         return F.struct(
             F.lit(side).alias("side"),
             F.lit(grp).alias("grp"),
             pos.cast("bigint").alias("pos"),
-            _first_present(item, *key_names).alias("key_raw"),
-            _first_present(item, *value_names).alias("value_raw"),
+            first(key_names).alias("key_raw"),
+            first(value_names).alias("value_raw"),
             unit.alias("unit_raw"),
         )
 
-    cells = F.transform(J.items(source), cell)
-    return F.filter(cells, lambda c: c["key_raw"].isNotNull())
+    members = F.transform(J.items(source), lambda item: F.struct(J.fields(item, *names).alias("m")))
+    return F.filter(F.transform(members, cell), lambda c: c["key_raw"].isNotNull())
 
 
 def explode_entries(

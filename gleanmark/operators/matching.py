@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gleanmark import vocabulary as V
 from gleanmark.operators.entries import PREDICTED, TRUTH
 from gleanmark.plans.ranks import null_safe_join, running_total
+from gleanmark.session import materialize
 
 TEXT_KEYS = ("run_id", "text_index")
 ENTRY_KEY = ("grp", "key_norm", "ckey", "unit_key")
@@ -96,7 +97,8 @@ def surplus_entries(entries: DataFrame, by: Sequence[str] = TEXT_KEYS) -> DataFr
         *by, *ENTRY_KEY, "tp"
     )
     keys = [*by, *ENTRY_KEY]
-    open_entries = null_safe_join(entries, matches, keys)
+    # Usually a small part of the entries; several steps below start from it.
+    open_entries = materialize(null_safe_join(entries, matches, keys), "open-entries")
     ranked = running_total(open_entries, [*keys, "side"], "pos", "_rank")
     return ranked.filter(F.col("_rank") > F.col("tp")).drop("_rank", "tp")
 

@@ -17,7 +17,6 @@ FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
 NESTED_OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
 
 MAX_ITEMS = 20
-_DEPTH = 4
 
 
 def _from_first_bracket(text: Column) -> Column:
@@ -107,29 +106,29 @@ def repair_json(df: DataFrame, source: str, out: str, closing: str = "counts") -
         (r",\s*\}", "}"), (r",\s*\]", "]"),
     ):
         text = F.regexp_replace(text, pattern, to)
-    df = df.withColumn("_text", text)
+    df = df.withColumn("_rp_text", text)
     # Structure only: drop escaped quotes, then closed strings, then an open one.
-    bare = F.regexp_replace(F.col("_text"), r'\\["\\]', "")
-    df = df.withColumn("_bare", F.regexp_replace(bare, r'"[^"]*+"', ""))
-    in_string = F.col("_bare").contains('"')
-    outside = F.regexp_replace(F.substring_index(F.col("_bare"), '"', 1), r"[^\[\]{}]+", "")
-    df = df.withColumns({"_in_string": in_string, "_brackets": outside})
-    closed = F.concat(F.col("_text"), F.lit('"'))
+    bare = F.regexp_replace(F.col("_rp_text"), r'\\["\\]', "")
+    df = df.withColumn("_rp_bare", F.regexp_replace(bare, r'"[^"]*+"', ""))
+    in_string = F.col("_rp_bare").contains('"')
+    outside = F.regexp_replace(F.substring_index(F.col("_rp_bare"), '"', 1), r"[^\[\]{}]+", "")
+    df = df.withColumns({"_rp_in_string": in_string, "_rp_brackets": outside})
+    closed = F.concat(F.col("_rp_text"), F.lit('"'))
     was_key = closed.rlike(r'[,{]\s*"[^"]*+"$')
     df = df.withColumn(
-        "_text",
-        F.when(F.col("_in_string") & was_key, F.concat(closed, F.lit(": null")))
-        .when(F.col("_in_string"), closed)
-        .otherwise(F.col("_text")),
-    ).withColumn("_bare", TX.rstrip(F.col("_text")))
-    trimmed = F.col("_bare")
+        "_rp_text",
+        F.when(F.col("_rp_in_string") & was_key, F.concat(closed, F.lit(": null")))
+        .when(F.col("_rp_in_string"), closed)
+        .otherwise(F.col("_rp_text")),
+    ).withColumn("_rp_bare", TX.rstrip(F.col("_rp_text")))
+    trimmed = F.col("_rp_bare")
     df = df.withColumn(
-        "_text",
+        "_rp_text",
         F.when(trimmed.endswith(":"), F.concat(trimmed, F.lit(" null")))
         .when(trimmed.endswith(","), TX.rstrip(F.left(trimmed, F.length(trimmed) - 1)))
-        .otherwise(F.col("_text")),
+        .otherwise(F.col("_rp_text")),
     )
-    brackets = F.col("_brackets")
+    brackets = F.col("_rp_brackets")
     if closing == "stack":
         closers = _open_stack(brackets)
     else:
@@ -137,10 +136,10 @@ def repair_json(df: DataFrame, source: str, out: str, closing: str = "counts") -
             F.repeat(F.lit("]"), _open_count(brackets, "[", "]")),
             F.repeat(F.lit("}"), _open_count(brackets, "{", "}")),
         )
-    fixed = F.concat(F.col("_text"), closers)
+    fixed = F.concat(F.col("_rp_text"), closers)
     for pattern, to in ((r",\s*,+", ","), (r",\s*\}", "}"), (r",\s*\]", "]")):
         fixed = F.regexp_replace(fixed, pattern, to)
-    return df.withColumn(out, fixed).drop("_text", "_bare", "_in_string", "_brackets")
+    return df.withColumn(out, fixed).drop("_rp_text", "_rp_bare", "_rp_in_string", "_rp_brackets")
 
 
 def _python_literal_to_json(text: Column) -> Column:
@@ -172,32 +171,46 @@ def _outside_tabs(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=[,:\[{}\]])\t+|\t+(?=[,:\[{}\]])", " ")
 
 
+# Text that the repair would change, or that is not complete JSON on its own.
+_NEEDS_REPAIR = r"\\|\r|‚|\bNone\b|[}\]]\s*\{|,\s*[,}\]]"
+
+
 def parse_lenient(df: DataFrame, source: str, out: str, closing: str = "counts") -> DataFrame:
-    """VARIANT object or array of a damaged JSON text; an empty object if hopeless."""
-    df = fragment_json(df, source, "_fragment")
-    df = repair_json(df, "_fragment", "_repaired", closing).withColumn(
-        "_parsed", J.parse_whole(F.col("_repaired"))
-    )
-    fallback = J.parse_whole(_python_literal_to_json(_outside_tabs(F.col("_repaired"))))
+    """VARIANT object or array of a damaged JSON text; an empty object if hopeless.
+
+    Text that needs no repair is parsed directly; the repair steps then see a
+    NULL and cost nothing.
+    """
+    df = fragment_json(df, source, "_ln_fragment")
+    fragment = F.col("_ln_fragment")
     df = df.withColumn(
-        "_parsed", F.when(F.col("_parsed").isNull() & (F.col("_fragment") != ""), fallback)
-        .otherwise(F.col("_parsed"))
+        "_ln_parsed", F.when(~fragment.rlike(_NEEDS_REPAIR), J.parse_whole(fragment))
+    )
+    broken = F.col("_ln_parsed").isNull() & (fragment != "")
+    df = df.withColumn("_ln_fragment", F.when(broken, fragment))
+    df = repair_json(df, "_ln_fragment", "_ln_repaired", closing).withColumn(
+        "_ln_parsed", F.coalesce("_ln_parsed", J.parse_whole(F.col("_ln_repaired")))
     )
-    container = J.is_object(F.col("_parsed")) | J.is_array(F.col("_parsed"))
+    literal = _python_literal_to_json(_outside_tabs(F.col("_ln_repaired")))
+    df = df.withColumn("_ln_literal", F.when(F.col("_ln_parsed").isNull(), literal))
+    df = df.withColumn("_ln_parsed", F.coalesce("_ln_parsed", J.parse_whole(F.col("_ln_literal"))))
+    shape = J.kind(F.col("_ln_parsed"))
+    df = df.withColumn("_ln_shape", F.left(shape, F.lit(3)))
     return df.withColumn(
-        out, F.when(container, F.col("_parsed")).otherwise(J.empty_object())
-    ).drop("_fragment", "_repaired", "_parsed")
+        out,
+        F.when(F.col("_ln_shape").isin("OBJ", "ARR"), F.col("_ln_parsed")).otherwise(J.empty_object()),
+    ).drop("_ln_fragment", "_ln_repaired", "_ln_parsed", "_ln_literal", "_ln_shape")
 
 
 def parse_strict(df: DataFrame, source: str, out: str) -> DataFrame:
     """The whole text as a JSON object, else the first object nested at most one level."""
     text = F.coalesce(F.col(source), F.lit(""))
-    df = df.withColumn("_whole", J.parse_whole(text))
+    df = df.withColumn("_st_whole", J.parse_whole(text))
     nested = J.parse_whole(F.regexp_extract(text, NESTED_OBJECT, 0))
-    df = df.withColumn("_whole", F.coalesce(F.col("_whole"), nested))
+    df = df.withColumn("_st_whole", F.coalesce(F.col("_st_whole"), nested))
     return df.withColumn(
-        out, F.when(J.is_object(F.col("_whole")), F.col("_whole")).otherwise(J.empty_object())
-    ).drop("_whole")
+        out, F.when(J.is_object(F.col("_st_whole")), F.col("_st_whole")).otherwise(J.empty_object())
+    ).drop("_st_whole")
 
 
 def canonical_keys(df: DataFrame, source: str, out: str) -> DataFrame:
@@ -227,29 +240,17 @@ def _is_text(value: Column, text: str) -> Column:
     return (J.kind(value) == "STRING") & (F.try_variant_get(value, "$", "string") == text)
 
 
-def _drop_empty(value: Column, depth: int) -> Column:
-    """Remove members that are ``[]``, ``""`` or null, down to ``depth`` levels."""
-    if depth == 0:
-        return value
+def _drop_empty(value: Column) -> Column:
+    """Remove members that are ``[]``, ``""`` or null, at every depth.
 
-    def kept(_key: Column, member: Column) -> Column:
-        empty = J.is_null(member) | _is_text(member, "") | (
-            J.is_array(member) & (F.size(J.items(member)) == 0)
-        )
-        return ~F.coalesce(empty, F.lit(False))
-
-    members = F.map_filter(J.members(value), kept)
-    return (
-        F.when(
-            J.is_object(value),
-            F.to_variant_object(F.transform_values(members, lambda k, v: _drop_empty(v, depth - 1))),
-        )
-        .when(
-            J.is_array(value),
-            F.to_variant_object(F.transform(J.items(value), lambda v: _drop_empty(v, depth - 1))),
-        )
-        .otherwise(value)
+    Done on the compact JSON text.  The patterns consume every string as a
+    whole, so nothing inside a string is taken for a member.
+    """
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    text = F.regexp_replace(
+        F.to_json(value), rf'(?s){string}:(?:""|null|\[\])(?:,|(?=\}}))|({string})', "$1"
     )
+    return F.try_parse_json(F.regexp_replace(text, rf"(?s)({string})|,(?=\}})", "$1"))
 
 
 def _without_empty_entries(value: Column) -> Column:
@@ -285,16 +286,23 @@ def _without_empty_entries(value: Column) -> Column:
 def clean_records(df: DataFrame, source: str, out: str, drop_empty: bool = True) -> DataFrame:
     """Drop entries without values; with ``drop_empty`` also empty members.
 
-    Non-objects pass unchanged.
+    Non-objects pass unchanged, and so do records whose JSON text shows that
+    there is nothing to drop.
     """
     value = F.col(source)
-    df = df.withColumn(
-        "_clean", F.when(J.is_object(value), _without_empty_entries(value)).otherwise(value)
+    no_fraction = F.exists(
+        J.items(J.get(value, V.MASS)), lambda x: J.get(x, V.MASS).isNull() & J.is_object(x)
     )
-    cleaned = F.col("_clean")
+    nothing_empty = ~F.to_json(value).rlike(r'null|""|\[\]|\{\}') & ~no_fraction
+    dirty = J.is_object(value) & ~F.coalesce(nothing_empty, F.lit(False))
+    df = df.withColumn("_cr_dirty", F.when(dirty, value))
+    df = df.withColumn("_cr_clean", F.when(dirty, _without_empty_entries(F.col("_cr_dirty"))))
+    cleaned = F.col("_cr_clean")
     if drop_empty:
-        cleaned = F.when(J.is_object(cleaned), _drop_empty(cleaned, _DEPTH)).otherwise(cleaned)
-    return df.withColumn(out, cleaned).drop("_clean")
+        cleaned = _drop_empty(cleaned)
+    return df.withColumn(
+        out, F.when(F.col("_cr_dirty").isNotNull(), cleaned).otherwise(value)
+    ).drop("_cr_clean", "_cr_dirty")
 
 
 def _compare_key(item: Column) -> Column:
@@ -311,10 +319,11 @@ def _dedup(value: Column, limit: int, depth: int) -> Column:
             J.items(member), lambda x: F.struct(_compare_key(x).alias("k"), x.alias("v"))
         )
         keys = F.transform(tagged, lambda t: t["k"])
-        first = F.filter(
-            tagged, lambda t, i: F.array_position(keys, t["k"]) == (i + 1).cast("bigint")
+        first = F.transform(
+            F.slice(F.array_distinct(keys), 1, limit),
+            lambda k: F.get(tagged, (F.array_position(keys, k) - 1).cast("int")),
         )
-        items = F.transform(F.slice(first, 1, limit), lambda t: t["v"])
+        items = F.transform(first, lambda t: t["v"])
         nested = _dedup(member, limit, depth - 1) if depth > 1 else member
         return (
             F.when(J.is_array(member), F.to_variant_object(items))

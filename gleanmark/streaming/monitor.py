@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 # Fixed value: mean seconds per response after which a run is given up.
@@ -48,13 +49,11 @@ def write_updates(progressed: DataFrame, path: str, checkpoint: str) -> Streamin
     )
 
 
-def latest_updates(spark: SparkSession, path: str, schema) -> DataFrame:
+def latest_updates(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The last written state of every run."""
-    updates = spark.read.schema(schema.add("batch_id", "int") if "batch_id" not in schema.names else schema)
-    rows = updates.parquet(path)
-    columns = [c for c in rows.columns if c != "batch_id"]
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
     return rows.groupBy(F.col("run_id").alias("_run")).agg(
-        F.max_by(F.struct(*columns), F.col("batch_id")).alias("_last")
+        F.max_by(F.struct(*schema.names), F.col("batch_id")).alias("_last")
     ).select("_last.*")
 
 
