@@ -10,6 +10,7 @@ from gleanmark import vocabulary as V
 from gleanmark.functions import jsonvalue as J
 from gleanmark.functions import text as TX
 from gleanmark.functions import values as VAL
+from gleanmark.plans.settle import settle
 
 PREDICTED, TRUTH = 0, 1
 ENTRY_COLUMNS = ("side", "grp", "pos", "key", "key_norm", "unit", "unit_key", "num", "ckey", "shown")
@@ -66,6 +67,7 @@ def explode_entries(
     rows = rows.withColumn("_parts", VAL.value_parts(F.col("value_raw"))).withColumn(
         "_value", VAL.norm_value(F.col("_parts"), strict)
     )
+    rows = settle(rows.drop("_parts"), "_value")
     if not strict:
         rows = rows.filter(F.col("_value.kind") != "null")
     key_text = F.when(J.kind(F.col("key_raw")) == "STRING", F.try_variant_get("key_raw", "$", "string"))

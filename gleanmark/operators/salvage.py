@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleanmark import vocabulary as V
 from gleanmark.functions import jsonvalue as J
 from gleanmark.functions import text as TX
+from gleanmark.plans.settle import settle
 
 # Patterns of fenced blocks and of one-level nested objects.
 FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
@@ -196,10 +197,11 @@ def parse_lenient(df: DataFrame, source: str, out: str, closing: str = "counts")
     df = df.withColumn("_ln_parsed", F.coalesce("_ln_parsed", J.parse_whole(F.col("_ln_literal"))))
     shape = J.kind(F.col("_ln_parsed"))
     df = df.withColumn("_ln_shape", F.left(shape, F.lit(3)))
-    return df.withColumn(
+    df = df.withColumn(
         out,
         F.when(F.col("_ln_shape").isin("OBJ", "ARR"), F.col("_ln_parsed")).otherwise(J.empty_object()),
     ).drop("_ln_fragment", "_ln_repaired", "_ln_parsed", "_ln_literal", "_ln_shape")
+    return settle(df, out)
 
 
 def parse_strict(df: DataFrame, source: str, out: str) -> DataFrame:
@@ -404,7 +406,7 @@ def process_responses(df: DataFrame, source: str = "raw_output") -> DataFrame:
     )
     answered = F.coalesce(F.col(source), F.lit("")) != ""
     no_violations = F.expr("cast(array() as array<struct<path:string,rule:string>>)")
-    return df.withColumns(
+    df = df.withColumns(
         {
             f"{stage}_valid": answered & F.col(f"{stage}_valid") for stage in ("raw", "parsed")
         }
@@ -413,3 +415,5 @@ def process_responses(df: DataFrame, source: str = "raw_output") -> DataFrame:
             for stage in ("raw", "parsed")
         }
     ).drop("_located", "_salvaged")
+    checks = [f"{stage}_{what}" for stage in ("raw", "parsed") for what in ("valid", "violations")]
+    return settle(df, "json", "record", "is_valid", *checks)
