@@ -46,21 +46,35 @@ def fixed(col: Column, digits: int, signed: bool = False) -> Column:
     (splitting both factors), so values next to a tie go the right way.
     """
     scale = float(10**digits)
-    size = F.abs(col)
-    split = size * 134217729.0
-    high = split - (split - size)
-    low = size - high
     scale_high = scale * 134217729.0 - (scale * 134217729.0 - scale)
     scale_low = scale - scale_high
-    product = size * scale
-    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
-    whole = F.floor(product).cast("double")
-    rest = product - whole
-    odd = F.pmod(whole, F.lit(2.0)) == 1.0
-    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
-    units = (whole + F.when(up, 1.0).otherwise(0.0)).cast("decimal(38,0)").cast("string")
-    padded = F.lpad(units, F.greatest(F.length(units), F.lit(digits + 1)), F.lit("0"))
-    cut = F.length(padded) - F.lit(digits)
-    body = F.concat(F.substr(padded, F.lit(1), cut), F.lit("."), F.substr(padded, cut + 1))
     plus = F.lit("+") if signed else F.lit("")
-    return F.concat(F.when(col < 0, F.lit("-")).otherwise(plus), body)
+
+    def factors(x: Column) -> Column:
+        size = F.abs(x)
+        split = size * 134217729.0
+        high = split - (split - size)
+        return F.struct(high.alias("high"), (size - high).alias("low"), (size * scale).alias("product"), x.alias("x"))
+
+    def units(f: Column) -> Column:
+        high, low, product = f["high"], f["low"], f["product"]
+        error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+        whole = F.floor(product).cast("double")
+        rest = product - whole
+        odd = F.pmod(whole, F.lit(2.0)) == 1.0
+        up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
+        rounded = (whole + F.when(up, 1.0).otherwise(0.0)).cast("decimal(38,0)").cast("string")
+        return F.struct(
+            F.lpad(rounded, F.greatest(F.length(rounded), F.lit(digits + 1)), F.lit("0")).alias("digits"),
+            F.when(f["x"] < 0, F.lit("-")).otherwise(plus).alias("sign"),
+        )
+
+    def text(u: Column) -> Column:
+        cut = F.length(u["digits"]) - F.lit(digits)
+        return F.concat(
+            u["sign"], F.substr(u["digits"], F.lit(1), cut), F.lit("."), F.substr(u["digits"], cut + 1)
+        )
+
+    # Each step sees the one before as a variable, so nothing is computed twice.
+    steps = F.transform(F.transform(F.transform(F.array(col), factors), units), text)
+    return F.when(col.isNotNull(), F.get(steps, F.lit(0)))
