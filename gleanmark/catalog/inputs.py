@@ -32,7 +32,7 @@ def percent(col: str) -> Column:
 def line_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth: one entry per line of an order.  Prediction: the same, with low
     discounts left out, discount 5 off by one and discount 7 given twice."""
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem")).select(
         F.col("l_linestatus").alias("run_id"), F.col("l_orderkey").alias("text_index"),
         "l_returnflag", "l_quantity", "l_linenumber", "l_partkey", "l_suppkey",
         percent("l_discount").alias("d"), percent("l_tax").alias("x"),
@@ -40,26 +40,21 @@ def line_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = (
         (F.col("l_linenumber").cast("bigint") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
     ) * 100 + F.col("l_quantity").cast("bigint")
-    keep = ["run_id", "text_index"]
-    parts = []
-    for grp, chosen in (("mass", F.col("x") < 4), ("other", F.col("x") >= 4)):
-        unit = F.lit(None).cast("string") if grp == "mass" else F.lit("кг")
-        rows = lines.filter(chosen)
-        copies = F.when(F.col("d") == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        predicted = rows.filter(F.col("d") > 1).withColumn("copy", F.explode(copies))
-        value = F.col("l_quantity") + F.when(F.col("d") == 5, 1).otherwise(0)
-        parts.append(
-            number_entries(rows, TRUTH, grp, F.col("l_returnflag"), F.col("l_quantity"), unit, order * 2, keep)
-        )
-        parts.append(
-            number_entries(
-                predicted, PREDICTED, grp, F.col("l_returnflag"), value, unit, order * 2 + F.col("copy"), keep
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    entry = lambda side, value, copy: F.struct(
+        F.lit(side).alias("side"), value.alias("number"), (order * 2 + copy).alias("pos")
+    )
+    predicted = F.col("l_quantity") + F.when(F.col("d") == 5, 1).otherwise(0)
+    # One pass over the lines: each gives its true entry and up to two predictions.
+    rows = lines.withColumn("grp", F.when(F.col("x") < 4, "mass").otherwise("other")).select(
+        "run_id", "text_index", "grp", F.col("l_returnflag").alias("key"),
+        F.inline(F.array_compact(F.array(
+            entry(TRUTH, F.col("l_quantity"), 0),
+            F.when(F.col("d") > 1, entry(PREDICTED, predicted, 0)),
+            F.when(F.col("d") == 7, entry(PREDICTED, predicted, 1)),
+        ))),
+    )
+    unit = F.when(F.col("grp") == "other", F.lit("кг"))
+    return number_entries(rows, F.col("key"), F.col("number"), unit, ["run_id", "text_index"])
 
 
 # The same entries in SQL; ``side`` 0 is predicted, 1 true.

@@ -10,9 +10,12 @@ from gleanmark import vocabulary as V
 from gleanmark.functions import jsonvalue as J
 from gleanmark.functions import text as TX
 from gleanmark.functions import values as VAL
+from gleanmark.functions.numbers import double_to_text
 from gleanmark.plans.settle import settle
 
 PREDICTED, TRUTH = 0, 1
+# Keys of an entry are never NULL (no unit is the empty ``unit_key``), so plain
+# equality groups and joins them.
 ENTRY_COLUMNS = ("side", "grp", "pos", "key", "key_norm", "unit", "unit_key", "num", "ckey", "shown")
 
 
@@ -82,7 +85,7 @@ def explode_entries(
         F.coalesce(key_text, J.shown(F.col("key_raw"))).alias("key"),
         F.coalesce(norm, typed_key).alias("key_norm"),
         F.when(~unit_null, J.shown(F.col("unit_raw"))).alias("unit"),
-        F.when(unit_null, F.lit(None)).when(
+        F.when(unit_null, F.lit("")).when(
             unit_kind == "STRING", F.concat(F.lit("s:"), F.try_variant_get("unit_raw", "$", "string"))
         ).otherwise(F.concat(F.lit("j:"), F.to_json("unit_raw"))).alias("unit_key"),
         F.col("_value.num").alias("num"),
@@ -97,19 +100,18 @@ def _own_key(ckey: Column) -> Column:
 
 
 def number_entries(
-    df: DataFrame, side: int, grp: str, key: Column, number: Column, unit: Column, pos: Column,
-    keep: Sequence[str],
+    df: DataFrame, key: Column, number: Column, unit: Column, keep: Sequence[str]
 ) -> DataFrame:
-    """Entries from relational columns: the same keys as for JSON records."""
-    from gleanmark.functions.numbers import double_to_text
+    """Entries from relational columns: the same keys as for JSON records.
 
+    ``df`` has ``side``, ``grp`` and ``pos``.
+    """
     number = number.cast("double")
+    norm = F.when(F.col("grp") == "mass", TX.norm_substance(key)).otherwise(key)
     return df.select(
-        *keep,
-        F.lit(side).alias("side"), F.lit(grp).alias("grp"), pos.cast("bigint").alias("pos"),
-        key.alias("key"),
-        (TX.norm_substance(key) if grp == "mass" else key).alias("key_norm"),
-        unit.alias("unit"), F.concat(F.lit("s:"), unit).alias("unit_key"),
+        *keep, "side", "grp", F.col("pos").cast("bigint").alias("pos"),
+        key.alias("key"), norm.alias("key_norm"),
+        unit.alias("unit"), F.coalesce(F.concat(F.lit("s:"), unit), F.lit("")).alias("unit_key"),
         number.alias("num"), VAL.number_key(number).alias("ckey"),
         double_to_text(number).alias("shown"),
     ).withColumn("ckey", _own_key(F.col("ckey")))

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanmark import vocabulary as V
 from gleanmark.operators.entries import PREDICTED, TRUTH
-from gleanmark.plans.ranks import null_safe_join, running_total
+from gleanmark.plans.ranks import running_total
 from gleanmark.session import materialize
 
 TEXT_KEYS = ("run_id", "text_index")
 ENTRY_KEY = ("grp", "key_norm", "ckey", "unit_key")
+# Copies of one entry beyond which they are ranked block by block.
+HOT_GROUP = 100_000
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -91,16 +93,20 @@ def surplus_entries(entries: DataFrame, by: Sequence[str] = TEXT_KEYS) -> DataFr
     """The entries left over after matching, on either side.
 
     Matching consumes the earliest positions first, so of each distinct entry
-    the rows ranked after the matched count remain.
+    the rows ranked after the matched count remain.  Groups of many copies are
+    ranked block by block, the others in one window.
     """
-    matches = match_entries(entries, by).filter(F.col("n_pred") != F.col("n_true")).select(
-        *by, *ENTRY_KEY, "tp"
-    )
+    matches = match_entries(entries, by).filter(F.col("n_pred") != F.col("n_true"))
     keys = [*by, *ENTRY_KEY]
-    # Usually a small part of the entries; several steps below start from it.
-    open_entries = materialize(null_safe_join(entries, matches, keys), "open-entries")
-    ranked = running_total(open_entries, [*keys, "side"], "pos", "_rank")
-    return ranked.filter(F.col("_rank") > F.col("tp")).drop("_rank", "tp")
+    # Usually a small part of the entries; the steps below start from it.
+    open_entries = materialize(entries.join(matches, keys), "open-entries")
+    size = F.greatest("n_pred", "n_true")
+    ordinary = open_entries.filter(size <= HOT_GROUP)
+    by_position = Window.partitionBy(*keys, "side").orderBy("pos")
+    ranked = ordinary.withColumn("_rank", F.row_number().over(by_position).cast("bigint")).unionByName(
+        running_total(open_entries.filter(size > HOT_GROUP), [*keys, "side"], "pos", "_rank")
+    )
+    return ranked.filter(F.col("_rank") > F.col("tp")).drop("_rank", "tp", "n_pred", "n_true")
 
 
 def entry_errors(entries: DataFrame, by: Sequence[str] = TEXT_KEYS) -> DataFrame:
@@ -119,7 +125,7 @@ def entry_errors(entries: DataFrame, by: Sequence[str] = TEXT_KEYS) -> DataFrame
     per_key = surplus.groupBy(*by, "grp", "key_norm").agg(
         F.count_if(is_pred).alias("n_wrong"), first_true.alias("truth")
     )
-    joined = null_safe_join(surplus, per_key, [*by, "grp", "key_norm"]).filter(
+    joined = surplus.join(per_key, [*by, "grp", "key_norm"]).filter(
         is_pred | (F.col("n_wrong") == 0)
     )
 
@@ -142,6 +148,6 @@ def entry_errors(entries: DataFrame, by: Sequence[str] = TEXT_KEYS) -> DataFrame
     rank = F.when(F.col("grp") == "mass", 0).otherwise(2) + F.when(is_pred, 0).otherwise(1)
     return joined.select(
         *by, "grp", "side", "pos",
-        (F.shiftleft(rank.cast("bigint"), 56) + F.col("pos")).alias("ord"),
+        (F.shiftleft(rank.cast("bigint"), 48) + F.col("pos")).alias("ord"),
         message.alias("message"),
     )

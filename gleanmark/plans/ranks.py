@@ -19,13 +19,13 @@ def running_total(
     order: str,
     name: str,
     value: Column | None = None,
-    shifts: Sequence[int] = (40, 20),
+    shifts: Sequence[int] = (20,),
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` (default: rows) up to and including the row.
 
     ``order`` is a non-negative integer column, unique within ``keys``.  A
     window holds at most ``2**shifts[-1]`` rows or, for block totals, the
-    number of blocks on one level.
+    number of blocks on one level; more shifts make more, smaller levels.
     """
     keys = list(keys)
     amount = F.lit(1) if value is None else value
