@@ -26,9 +26,10 @@ def double_to_text(col: Column) -> Column:
     )
     mantissa = F.regexp_replace(F.substring_index(raw, "E", 1), r"\.0$", "")
     power = F.substring_index(raw, "E", -1)
+    digits = F.replace(power, F.lit("-"), F.lit(""))
     exponent = F.concat(
         F.when(power.startswith("-"), F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.replace(power, F.lit("-"), F.lit("")), 2, "0"),
+        F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits),
     )
     return (
         F.when(F.isnan(col), F.lit("nan"))

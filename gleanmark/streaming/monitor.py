@@ -25,7 +25,8 @@ def progress(responses: DataFrame, totals: dict[str, int]) -> DataFrame:
     )
     total = F.try_element_at(known, F.col("run_id")).cast("bigint")
     return counted.withColumn("total", total).withColumn(
-        "remaining", F.greatest(F.col("total") - F.col("processed"), F.lit(0))
+        "remaining",
+        F.when(F.col("total").isNotNull(), F.greatest(F.col("total") - F.col("processed"), F.lit(0))),
     ).withColumn("eta_s", F.col("mean_s") * F.col("remaining"))
 
 

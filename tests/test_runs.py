@@ -191,9 +191,7 @@ def test_corpus_and_pool(spark, tmp_path):
     corpus = T.read_corpus(spark, path).orderBy("text_index").collect()
     assert [(r.text_index, r.text, r.truth_json) for r in corpus] == [(0, "line one\nline two", '{"a": "x"}'), (1, "second", None)]
     with pytest.raises(ValueError):
-        T.read_responses(spark, path.replace("corpus", "x")) if False else T.read_responses(
-            spark, _write(tmp_path, "no.csv", "text\nx\n")
-        )
+        T.read_responses(spark, _write(tmp_path, "no.csv", "text\nx\n"))
     pool = spark.createDataFrame([("t", '{"a":"b"}', ["x"])], "text string, json string, responses array<string>")
     T.write_pool(pool, str(tmp_path / "pool"))
     back = T.read_pool(spark, str(tmp_path / "pool"))

@@ -146,7 +146,7 @@ def test_dedup_cap(spark):
 def test_strip_instructions(spark):
     cases = {
         " без указаний ": "без указаний",
-        "Твоя задача: найти\nпустая\nN 5%\nда\nНужно найти:\nне то\nне найдено": "N 5%\nда\nне то\nне найдено",
+        "Твоя задача: найти\n---\nN 5%\nда\nНужно найти:\nне то\nне найдено": "N 5%\nда\nне то\nне найдено",
     }
     assert apply(spark, S.strip_instructions, list(cases), json_out=False) == list(cases.values())
 
