@@ -16,11 +16,10 @@ from pyspark.sql import SparkSession
 from gleanmark import catalog
 
 HEADLINE = (
-    "quality_micro", "accuracy_macro", "match_counts", "entry_errors", "errors_by_text", "strict_vs_lenient",
-    "evaluate_quality", "raw_quality", "rescore_counts", "unified_errors", "salvage_marked", "salvage_truncated",
-    "validate_schema", "validation_rates", "clean_values", "dedup_items", "drop_labeled", "pair_disagreement",
-    "format_and_content", "knn_outliers", "length_profile", "token_summary", "latest_runs", "leaderboard_f1",
-    "backend_slice", "derive_method", "run_counters", "assemble_records", "render_prompts", "progress_stream",
+    "quality_micro", "accuracy_macro", "match_counts", "errors_by_text", "evaluate_quality", "salvage_marked",
+    "validate_schema", "drop_labeled", "pair_disagreement", "knn_outliers", "length_profile", "token_summary",
+    "latest_runs", "leaderboard_f1", "backend_slice", "run_counters", "assemble_records", "render_prompts",
+    "progress_stream",
 )
 
 
