@@ -75,9 +75,9 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(piece: Piece) -> Words:
-    """Find the words of every text; no word crosses from one text into the next."""
-    inside = ~_IS_SPACE[piece.data]
+def words(piece: Piece, outside: np.ndarray = _IS_SPACE) -> Words:
+    """Find the words of every text; no word crosses from one text into the next. ``outside``: bytes between words."""
+    inside = ~outside[piece.data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     begins = piece.offsets[:-1][piece.offsets[:-1] < len(inside)]
@@ -141,3 +141,47 @@ def grams(hashes: np.ndarray, w: Words, k: int) -> Grams:
     inside = text[:n] == text[k - 1 : k - 1 + n]
     at = np.flatnonzero(inside)
     return Grams(gram_hashes(hashes, k)[at], text[at], at)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of hashed values, the same for the same run at any place."""
+    up, down = _power_tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLDEN)
+
+
+def within(keys: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Hashes that tell equal keys of different groups apart."""
+    return mix(keys + group.astype(np.uint64) * _GOLDEN)
+
+
+def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags are set between consecutive offsets."""
+    sums = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=sums[1:])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def starts_of_characters(data: np.ndarray) -> np.ndarray:
+    """True at the first byte of every code point."""
+    return (data & 0xC0) != 0x80
+
+
+class Lines(NamedTuple):
+    """Lines of a piece split at line feeds: byte ranges and text numbers."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    text: np.ndarray
+
+
+def lines(piece: Piece) -> Lines:
+    breaks = np.flatnonzero(piece.data == 0x0A)
+    text_of_break = np.searchsorted(piece.offsets, breaks, "right") - 1
+    starts = np.concatenate([piece.offsets[:-1], breaks + 1])
+    ends = np.concatenate([breaks, piece.offsets[1:]])
+    text = np.concatenate([np.arange(piece.n), text_of_break])
+    order_starts = np.lexsort((starts, text))
+    order_ends = np.lexsort((ends, np.concatenate([text_of_break, np.arange(piece.n)])))
+    return Lines(starts[order_starts], ends[order_ends], text[order_starts])

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmark.llm import bpe, quality
+from gleanmark.llm import bpe, langid, line_rules, mixing, quality
 from gleanmark.llm.frames import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,9 +27,103 @@ def op3_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.quality_rules(documents(spark, sf_dir))
+
+
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), line AS (
+  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw FROM docs
+), filled AS (
+  SELECT doc_id, source, text, raw,
+         regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS line
+  FROM line WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')
+), own AS (
+  SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM filled GROUP BY doc_id
+), hosts AS (
+  SELECT source, count(DISTINCT text) AS n_texts FROM docs GROUP BY source
+), frequent AS (
+  SELECT f.source, f.line, count(DISTINCT f.text) AS n, any_value(h.n_texts) AS n_texts
+  FROM filled f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
+  GROUP BY f.source, f.line HAVING count(DISTINCT f.text) > 20 AND count(DISTINCT f.text) > 0.1 * any_value(h.n_texts)
+), removed AS (
+  SELECT f.doc_id, sum(len(f.line)) AS n_boilerplate_words
+  FROM filled f JOIN frequent q ON f.source IS NOT DISTINCT FROM q.source AND f.line = q.line GROUP BY f.doc_id
+), position AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) >= 8
+), windows AS (
+  SELECT doc_id, i, words[i:i + 7] AS span FROM position
+), twice AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, span) AS n FROM windows
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS at FROM twice WHERE n > 1
+), repeats AS (
+  SELECT doc_id, count(*) AS n_repeat_words FROM covered GROUP BY doc_id
+), counts AS (
+  SELECT d.doc_id, len(d.words) AS n_words,
+         coalesce(list_sum(list_transform(d.words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(o.n_dup_lines, 0) AS n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words,
+         coalesce(b.n_boilerplate_words, 0)::BIGINT AS n_boilerplate_words
+  FROM docs d LEFT JOIN own o USING (doc_id) LEFT JOIN repeats r USING (doc_id) LEFT JOIN removed b USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+       AND NOT (n_words - n_boilerplate_words < 0.3 * n_words) AS kept
+FROM counts
+"""
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("source")
+
+
+OP7_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents
+), total AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, 2 * source_size AS cap,
+         [3, 1, 2][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM total
+), leveled AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (
+               ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (
+               ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted
+), goals AS (
+  SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM leveled
+), placed AS (
+  SELECT s.doc_id, s.size, g.source_size, g.target, floor(g.target)::BIGINT AS quota,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+       (least(size, greatest(0, quota - start)) + least(size, greatest(0, quota - source_size - start)))::BIGINT AS taken
+FROM placed
+"""
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identified(docs, langid.train(*langid.labelled_sample(docs)))
+
+
 QUERIES: dict[str, tuple] = {
     "op1_quality_classifier": (op1_quality_classifier, None),
     "op3_bpe_coding": (op3_bpe_coding, None),
+    "op5_line_rules": (op5_line_rules, OP5_SQL),
+    "op7_source_mix": (op7_source_mix, OP7_SQL),
+    "op9_language_id": (op9_language_id, None),
 }
 
 
