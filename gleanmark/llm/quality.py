@@ -180,24 +180,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = 2500, sample
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out; nulls in id, text or label are left out.
     """
-    known = (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull())
-        .join(labels.where((remainder("doc_id", 5) != 0) & F.col(label).isNotNull())
-              .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")), "doc_id")
+    given = (
+        labels.where((remainder("doc_id", 5) != 0) & F.col(label).isNotNull())
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+        .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows).collect()
     )
-    order = [F.md5(F.col("doc_id").cast("string")), "doc_id", "size", "text_key"]
-    sized = known.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("text_key"))
+    rank = {r["doc_id"]: i for i, r in enumerate(given)}
+    if not rank:
+        return [], []
+    wanted = docs.where(F.col("doc_id").isin(list(rank)) & F.col("text").isNotNull())
+    sizes = wanted.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).collect()
     chosen, total = [], 0
-    for r in sized.orderBy(*order).limit(rows).collect():
+    for r in sorted(sizes, key=lambda r: rank[r["doc_id"]]):
         total += r["size"]
         if total > sample_bytes:
             break
         chosen.append(r["doc_id"])
     if not chosen:
         return [], []
-    found = known.where(F.col("doc_id").isin(chosen)).dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in found], [r["y"] for r in found]
+    texts = dict(docs.where(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.max("text")).collect())
+    return [texts[i] for i in chosen], [given[rank[i]]["y"] for i in chosen]
 
 
 def score(net: Network) -> Column:
