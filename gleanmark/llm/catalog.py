@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmark.llm import bpe, langid, line_rules, mixing, quality
+from gleanmark.llm import bpe, html_extraction, langid, licenses, line_rules, mixing, quality
 from gleanmark.llm.frames import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, net)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, name = bpe.with_codes(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
     return docs.select(
@@ -79,6 +83,10 @@ FROM counts
 """
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
@@ -120,8 +128,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple] = {
     "op1_quality_classifier": (op1_quality_classifier, None),
+    "op2_html_extraction": (op2_html_extraction, None),
     "op3_bpe_coding": (op3_bpe_coding, None),
     "op5_line_rules": (op5_line_rules, OP5_SQL),
+    "op6_license_scan": (op6_license_scan, licenses.scan_sql()),
     "op7_source_mix": (op7_source_mix, OP7_SQL),
     "op9_language_id": (op9_language_id, None),
 }
