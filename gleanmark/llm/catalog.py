@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmark.llm import bpe, html_extraction, langid, licenses, line_rules, mixing, quality
+from gleanmark.llm import bpe, fingerprints, html_extraction, langid, licenses, line_rules, mixing, quality
 from gleanmark.llm.frames import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -126,6 +126,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs, langid.train(*langid.labelled_sample(docs)))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, tuple] = {
     "op1_quality_classifier": (op1_quality_classifier, None),
     "op2_html_extraction": (op2_html_extraction, None),
@@ -134,6 +138,7 @@ QUERIES: dict[str, tuple] = {
     "op6_license_scan": (op6_license_scan, licenses.scan_sql()),
     "op7_source_mix": (op7_source_mix, OP7_SQL),
     "op9_language_id": (op9_language_id, None),
+    "op10_fingerprints": (op10_fingerprints, None),
 }
 
 
