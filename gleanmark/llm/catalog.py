@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmark.llm import bpe, fingerprints, html_extraction, langid, licenses, line_rules, mixing, quality
+from gleanmark.llm import bpe, fingerprints, html_extraction, jaccard_join, langid, licenses, line_rules, mixing, quality
 from gleanmark.llm.frames import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,6 +31,40 @@ def op3_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar(documents(spark, sf_dir), jaccard_join.Rule(words=4, percent=85))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), spans AS (
+  SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, least(len(words), 1)) + 1)) AS i FROM docs
+), shingles AS (
+  SELECT DISTINCT doc_id, words[i:i + 3] AS shingle FROM spans
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * same >= 85 * (x.n + y.n - same)
+), both AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM docs
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN both l ON r.other = l.a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.other) AS component_id
+FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN reached r USING (doc_id) GROUP BY d.doc_id, s.n
+"""
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_rules(documents(spark, sf_dir))
 
@@ -134,6 +168,7 @@ QUERIES: dict[str, tuple] = {
     "op1_quality_classifier": (op1_quality_classifier, None),
     "op2_html_extraction": (op2_html_extraction, None),
     "op3_bpe_coding": (op3_bpe_coding, None),
+    "op4_jaccard_join": (op4_jaccard_join, OP4_SQL),
     "op5_line_rules": (op5_line_rules, OP5_SQL),
     "op6_license_scan": (op6_license_scan, licenses.scan_sql()),
     "op7_source_mix": (op7_source_mix, OP7_SQL),
