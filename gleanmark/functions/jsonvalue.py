@@ -1,8 +1,13 @@
 """Reading untrusted JSON into VARIANT, and asking what a VARIANT holds."""
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from gleanmark.functions import numbers as N
 
@@ -123,26 +128,31 @@ def shown(value: Column) -> Column:
     ).otherwise(shown_scalar(value))
 
 
+_TOKEN = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|\{\s*\}|\[\s*\]|[{}\[\],:]|[^\s{}\[\],:"]++', re.S)
+
+
+def _laid_out(text: str, indent: int) -> str:
+    out, depth = [], 0
+    for token in _TOKEN.findall(text):
+        depth += (token in "{[") - (token in "}]")
+        line = "\n" + " " * (depth * indent)
+        if token in "{[,":
+            out += (token, line)
+        elif token in "}]":
+            out += (line, token)
+        elif token == ":":
+            out.append(": ")
+        else:
+            out.append("".join(token.split()) if token[0] in "{[" else token)
+    return "".join(out)
+
+
 def pretty(compact: Column, indent: int = 2) -> Column:
     """JSON text laid out over lines with ``indent`` spaces per level."""
-    token = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|\{\s*\}|\[\s*\]|[{}\[\],:]|[^\s{}\[\],:"]++'
-    tokens = F.regexp_extract_all(compact, F.lit(token), F.lit(0))
-
-    def newline(depth: Column) -> Column:
-        return F.concat(F.lit("\n"), F.repeat(F.lit(" "), depth * indent))
-
-    def step(state: Column, tok: Column) -> Column:
-        depth = state["depth"] + F.when(tok.isin("{", "["), 1).when(tok.isin("}", "]"), -1).otherwise(0)
-        piece = (
-            F.when(tok.isin("{", "[", ","), F.concat(tok, newline(depth)))
-            .when(tok.isin("}", "]"), F.concat(newline(depth), tok))
-            .when(tok == ":", F.lit(": "))
-            .when(tok.rlike(r"^[{\[]"), F.regexp_replace(tok, r"\s+", ""))
-            .otherwise(tok)
-        )
-        return F.struct(
-            depth.alias("depth"), F.concat(state["out"], F.array(piece)).alias("out")
-        )
 
-    start = F.struct(F.lit(0).alias("depth"), F.expr("cast(array() as array<string>)").alias("out"))
-    return F.aggregate(tokens, start, step, lambda s: F.array_join(s["out"], ""))
+    @arrow_udf("string")
+    def laid_out(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([None if t is None else _laid_out(t, indent) for t in column.to_pylist()], pa.string())
+
+    return laid_out(compact)

@@ -1,12 +1,18 @@
 """From free-text responses to records: locate, repair, parse and clean JSON.
 
-All steps are column expressions on a row; nothing shuffles.  The operators
-work on DataFrames so that each intermediate text is computed once.
+All steps are column expressions on a row (``dedup_cap``, whose depth has no
+limit, an Arrow function); nothing shuffles.  The operators work on DataFrames
+so that each intermediate text is computed once.
 """
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from gleanmark import vocabulary as V
 from gleanmark.functions import jsonvalue as J
@@ -307,50 +313,56 @@ def clean_records(df: DataFrame, source: str, out: str, drop_empty: bool = True)
     ).drop("_cr_clean", "_cr_dirty")
 
 
-def _compare_key(item: Column) -> Column:
-    number = F.when(
-        ~J.kind(item).isin("STRING") & ~J.is_object(item) & ~J.is_array(item),
-        F.try_variant_get(item, "$", "double"),
-    )
-    return F.coalesce(F.concat(F.lit("n:"), number.cast("string")), F.to_json(item))
-
-
-def _dedup(value: Column, limit: int, depth: int) -> Column:
-    def shorten(_key: Column, member: Column) -> Column:
-        tagged = F.transform(
-            J.items(member), lambda x: F.struct(_compare_key(x).alias("k"), x.alias("v"))
-        )
-        keys = F.transform(tagged, lambda t: t["k"])
-        first = F.transform(
-            F.slice(F.array_distinct(keys), 1, limit),
-            lambda k: F.get(tagged, (F.array_position(keys, k) - 1).cast("int")),
-        )
-        items = F.transform(first, lambda t: t["v"])
-        nested = _dedup(member, limit, depth - 1) if depth > 1 else member
-        return (
-            F.when(J.is_array(member), F.to_variant_object(items))
-            .when(J.is_object(member), nested)
-            .otherwise(member)
-        )
-
-    return F.to_variant_object(F.transform_values(J.members(value), shorten))
+def _capped(record: dict, limit: int) -> dict:
+    """``record`` with the first ``limit`` distinct items of its arrays, at any depth of nested objects."""
+    out: dict = {}
+    todo = [(record, out)]
+    while todo:
+        source, target = todo.pop()
+        for key, member in source.items():
+            if isinstance(member, dict):
+                target[key] = {}
+                todo.append((member, target[key]))
+            elif isinstance(member, list):
+                kept: dict = {}
+                for item in member:
+                    number = isinstance(item, int | float)
+                    kept.setdefault(float(item) if number else json.dumps(item, ensure_ascii=False), item)
+                    if len(kept) == limit:
+                        break
+                target[key] = list(kept.values())
+            else:
+                target[key] = member
+    return out
 
 
 def dedup_cap(df: DataFrame, source: str, out: str, limit: int = MAX_ITEMS) -> DataFrame:
     """Keep the first occurrence of every array item, and the first ``limit`` of them.
 
-    Works on the arrays of the object and of objects nested in it, not on
-    arrays inside arrays.  The limit is what the operator is for: it removes
-    the endless repetitions a model can fall into.
+    Works on the arrays of the object and of objects nested in it at any depth,
+    not on arrays inside arrays.  The limit is what the operator is for: it
+    removes the endless repetitions a model can fall into.
     """
+
+    @arrow_udf("string")
+    def capped(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(
+                [None if t is None else json.dumps(_capped(json.loads(t), limit), ensure_ascii=False) for t in column.to_pylist()],
+                pa.string(),
+            )
+
     value = F.col(source)
-    return df.withColumn(
-        out, F.when(J.is_object(value), _dedup(value, limit, 3)).otherwise(value)
-    )
+    short = capped(F.when(J.is_object(value), F.to_json(value)))
+    return df.withColumn(out, F.when(J.is_object(value), F.parse_json(short)).otherwise(value))
 
 
 def strip_instructions(df: DataFrame, source: str, out: str) -> DataFrame:
-    """Remove echoed instructions: after each, skip up to the first line with content."""
+    """Remove echoed instructions: after each, skip up to the first line with content.
+
+    The lines are cut into sections at the instruction lines; each section is
+    kept from its first line with content on.
+    """
     text = F.coalesce(F.col(source), F.lit(""))
 
     def mentions(line: Column, words: tuple[str, ...]) -> Column:
@@ -359,51 +371,75 @@ def strip_instructions(df: DataFrame, source: str, out: str) -> DataFrame:
             found = found | line.contains(word)
         return found
 
-    def step(state: Column, line: Column) -> Column:
+    def flag(line: Column) -> Column:
         lowered = F.lower(line)
-        instruction = mentions(lowered, V.INSTRUCTION_PHRASES)
-        content = line.rlike(r"[\p{Nd}²³¹⁰-⁹₀-₉]") | mentions(
-            lowered, (*V.CONTENT_TOKENS, V.NOT_FOUND)
-        )
-        skip = F.when(instruction, True).otherwise(state["skip"] & ~content)
-        return F.struct(
-            skip.alias("skip"),
-            F.when(skip, state["kept"]).otherwise(F.concat(state["kept"], F.array(line))).alias("kept"),
-        )
-
-    start = F.struct(F.lit(True).alias("skip"), F.expr("cast(array() as array<string>)").alias("kept"))
-    kept = F.aggregate(F.split(text, "\n"), start, step, lambda s: F.array_join(s["kept"], "\n"))
-    return df.withColumn(
-        out,
-        TX.strip(F.when(mentions(F.lower(text), V.INSTRUCTION_PHRASES), kept).otherwise(text)),
+        content = line.rlike(r"[\p{Nd}²³¹⁰-⁹₀-₉]") | mentions(lowered, (*V.CONTENT_TOKENS, V.NOT_FOUND))
+        return F.when(mentions(lowered, V.INSTRUCTION_PHRASES), 0).when(content, 1).otherwise(2)
+
+    echoed = mentions(F.lower(text), V.INSTRUCTION_PHRASES)
+    df = df.withColumn("_si_lines", F.when(echoed, F.split(text, "\n")))
+    df = settle(df.withColumn("_si_flags", F.transform("_si_lines", flag)), "_si_lines", "_si_flags")
+    n = F.size("_si_lines")
+    instructions = F.filter(
+        F.transform("_si_flags", lambda f, i: F.when(f == 0, i + 1).otherwise(0)), lambda at: at > 0
     )
+    df = settle(df.withColumn("_si_cuts", F.concat(F.array(F.lit(0)), instructions, F.array(n + 1))), "_si_cuts")
+
+    def section(cut: Column, i: Column) -> Column:
+        stop = F.get(F.col("_si_cuts"), i + 1)
+        size = F.greatest(F.lit(0), stop - cut - 1)
+        first = F.array_position(F.slice("_si_flags", cut + 1, size), 1).cast("int")
+        return F.when(
+            first > 0, F.slice("_si_lines", cut + first, stop - cut - first)
+        ).otherwise(F.expr("cast(array() as array<string>)"))
+
+    sections = F.transform(F.slice("_si_cuts", 1, F.size("_si_cuts") - 1), section)
+    kept = F.array_join(F.flatten(sections), "\n")
+    return df.withColumn(
+        out, TX.strip(F.when(F.col("_si_lines").isNotNull(), kept).otherwise(text))
+    ).drop("_si_lines", "_si_flags", "_si_cuts")
 
 
-def process_responses(df: DataFrame, source: str = "raw_output") -> DataFrame:
-    """Salvage and validate responses; works on batch and streaming tables alike.
+def salvage_responses(df: DataFrame, source: str = "raw_output") -> DataFrame:
+    """Salvage responses without validation: adds ``json``, ``record`` (VARIANT) and ``is_valid``.
 
-    Adds ``json``, ``record`` (VARIANT), ``is_valid`` and for both stages the
-    verdict and violations.  An empty response is invalid in every respect.
+    Works on batch and streaming tables alike.
     """
-    from gleanmark.operators.validate import validate, validate_text
+    return settle(_with_json(_salvaged(df, source)).drop("_located"), "json", "record", "is_valid")
+
 
+def _salvaged(df: DataFrame, source: str) -> DataFrame:
     df = locate_json(df, source, "_located")
     df = parse_lenient(df, "_located", "_salvaged")
     df = df.withColumn("is_valid", J.is_nonempty_object(F.col("_salvaged")))
     df = canonical_keys(df, "_salvaged", "_salvaged")
-    df = clean_records(df, "_salvaged", "record")
-    df = validate_text(df, source, "_located", "raw")
-    df = validate(df, "record", "parsed")
+    return clean_records(df, "_salvaged", "record").drop("_salvaged")
+
+
+def _with_json(df: DataFrame) -> DataFrame:
     mentions_latin = F.lit(False)
     for latin in V.LATIN_KEYS:
         mentions_latin = mentions_latin | F.col("_located").contains(f'"{latin}"')
     nonempty_list = J.is_array(F.col("record")) & (F.size(J.items(F.col("record"))) > 0)
-    df = df.withColumn(
+    return df.withColumn(
         "json",
         F.when(F.col("is_valid"), F.to_json("record"))
         .when(mentions_latin & ~nonempty_list, rename_latin_keys(F.col("_located")))
         .otherwise(F.col("_located")),
     )
+
+
+def process_responses(df: DataFrame, source: str = "raw_output") -> DataFrame:
+    """Salvage and validate responses; works on batch and streaming tables alike.
+
+    Adds ``json``, ``record`` (VARIANT), ``is_valid`` and for both stages the
+    verdict and violations.  An empty response is invalid in every respect.
+    """
+    from gleanmark.operators.validate import validate, validate_text
+
+    df = _salvaged(df, source)
+    df = validate_text(df, source, "_located", "raw")
+    df = _with_json(validate(df, "record", "parsed"))
     answered = F.coalesce(F.col(source), F.lit("")) != ""
     no_violations = F.expr("cast(array() as array<struct<path:string,rule:string>>)")
     df = df.withColumns(
@@ -414,6 +450,6 @@ def process_responses(df: DataFrame, source: str = "raw_output") -> DataFrame:
             f"{stage}_violations": F.when(answered, F.col(f"{stage}_violations")).otherwise(no_violations)
             for stage in ("raw", "parsed")
         }
-    ).drop("_located", "_salvaged")
+    ).drop("_located")
     checks = [f"{stage}_{what}" for stage in ("raw", "parsed") for what in ("valid", "violations")]
     return settle(df, "json", "record", "is_valid", *checks)

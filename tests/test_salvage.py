@@ -1,5 +1,6 @@
 """Locating, repairing, parsing, cleaning and validating, one fixture per branch."""
 import json
+import time
 import random
 
 import pytest
@@ -143,6 +144,28 @@ def test_dedup_cap(spark):
     assert out == {"a": [{"x": i, "y": 1} for i in range(20)], "b": {"c": [1, "1"]}, "d": 5}
 
 
+def test_dedup_cap_at_any_depth(spark):
+    record = {"x": [5, 5], "p": {"q": {"r": {"s": {"t": {"x": [5, 5, [1, 1], [1, 1]], "y": {"z": [None, None]}}}}}}}
+    rows = spark.createDataFrame([(json.dumps(record),), ("[1, 1]",), (None,)], "s string").withColumn("v", J.parse_whole(F.col("s")))
+    out = [r[0] and json.loads(r[0]) for r in S.dedup_cap(rows, "v", "o").select(F.to_json("o")).collect()]
+    assert out == [{"x": [5], "p": {"q": {"r": {"s": {"t": {"x": [5, [1, 1]], "y": {"z": [None]}}}}}}}, [1, 1], None]
+
+
+def test_long_rows_take_linear_time(spark):
+    """One row four times as long may not take much more than four times as long."""
+    def seconds(n):
+        echoed = "Твоя задача: найти\n" + "\n".join(f"N {i}%" for i in range(n))
+        rows = spark.createDataFrame([(echoed, json.dumps({"a": list(range(n))}))], "t string, j string")
+        start = time.perf_counter()
+        kept, pretty = S.strip_instructions(rows, "t", "k").select("k", J.pretty(F.col("j")).alias("p")).first()
+        assert kept.count("\n") == n - 1 and pretty.count("\n") == n + 3
+        return time.perf_counter() - start
+
+    seconds(100)
+    small = min(seconds(16_000) for _ in range(3))
+    assert seconds(64_000) < 8 * small + 1
+
+
 def test_strip_instructions(spark):
     cases = {
         " без указаний ": "без указаний",
