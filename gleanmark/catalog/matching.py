@@ -328,7 +328,90 @@ SELECT run_id, (SELECT string_agg(text, ' | ' ORDER BY rn) FROM r WHERE r.run_id
 FROM (SELECT DISTINCT run_id FROM u) x"""
 
 
+def error_digest_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of runs whose first text has about half of all errors, far more than one part holds."""
+    few = F.col("l_quantity") < 25
+    errors = table(spark, sf_dir, "lineitem").select(
+        F.col("l_linestatus").alias("run_id"),
+        F.when(few, F.lit(1)).otherwise(F.col("l_orderkey") + 10).cast("bigint").alias("text_index"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        F.concat(F.lit("e"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")).alias("message"),
+    )
+    rows = ER.errors_by_text(errors).withColumns(
+        {"text": F.concat(F.lit("t"), F.col("text_index").cast("string")), "response": F.lit("")}
+    )
+    return ER.error_digest(rows).select(
+        "run_id",
+        F.array_join(F.transform("texts", lambda t: t["text"]), " | ").alias("texts"),
+        F.md5(F.array_join(F.flatten(F.transform("texts", lambda t: t["errors"])), " | ")).alias("errors"),
+        F.array_join("lines", " | ").alias("lines"),
+    )
+
+
+_ERROR_DIGEST_LARGE = """WITH e AS (
+  SELECT l_linestatus AS run_id, CASE WHEN l_quantity < 25 THEN 1 ELSE l_orderkey + 10 END AS text_index,
+         l_orderkey * 10 + l_linenumber AS ord,
+         'e' || CAST(l_orderkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR) AS message
+  FROM lineitem
+),
+r AS (
+  SELECT *, dense_rank() OVER (PARTITION BY run_id ORDER BY text_index) AS rn,
+         row_number() OVER (PARTITION BY run_id ORDER BY text_index, ord) AS ln FROM e
+)
+SELECT run_id, (SELECT string_agg('t' || CAST(text_index AS VARCHAR), ' | ' ORDER BY text_index)
+                FROM (SELECT DISTINCT run_id, text_index FROM r WHERE rn <= 3) t WHERE t.run_id = x.run_id) AS texts,
+       md5(string_agg(message, ' | ' ORDER BY text_index, ord) FILTER (WHERE rn <= 3)) AS errors,
+       string_agg('Текст #' || CAST(text_index AS VARCHAR) || ': ' || message, ' | ' ORDER BY ln) FILTER (WHERE ln <= 10) AS lines
+FROM r x GROUP BY run_id"""
+
+
+def rescore_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.Rescoring(*_stored(spark, sf_dir)).quality().select(
+        "run_id", "grp", "tp", "fp", "fn",
+        *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
+    )
+
+
+def _joined_errors(errors: DataFrame) -> DataFrame:
+    return errors.select("run_id", "text_index", "part", F.array_join("errors", " | ").alias("errors"))
+
+
+def rescore_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_errors(EV.Rescoring(*_stored(spark, sf_dir)).errors())
+
+
+_RESCORE_ERRORS = f"""WITH {_UNIFIED_CTE}
+SELECT run_id, text_index, part, array_to_string(CASE WHEN len(errs) > 1 THEN errs[2:] ELSE errs END, ' | ') AS errors FROM u"""
+
+
+def raw_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the responses as they stand, strictly read."""
+    texts = spread(order_texts(spark, sf_dir))
+    return _joined_errors(EV.RawQuality(texts.drop("truth_json"), texts.select("text_index", "truth_json")).errors())
+
+
+_RAW_ERRORS = """WITH o AS (
+  SELECT o_orderstatus AS run_id, o_orderkey AS text_index, left(o_orderpriority, 1) AS l, CAST(o_custkey AS VARCHAR) AS c,
+         CAST(floor(o_totalprice) AS BIGINT) AS a, o_orderstatus AS s FROM orders
+),
+m AS (
+  SELECT *, ['Вещество N: предсказано отсутствует, истина ' || CAST(a AS VARCHAR),
+             'Вещество К2О: предсказано отсутствует, истина ' || c || '%'] AS mass,
+         ['Параметр масса: предсказано отсутствует, истина ' || c || '.0, единица: кг',
+          'Параметр статус: предсказано отсутствует, истина ' || lower(s)] AS other
+  FROM o
+)
+SELECT run_id, text_index, CAST(0 AS BIGINT) AS part, array_to_string(
+  CASE WHEN l = '2' THEN ['Вещество N: предсказано ' || CAST(a + 1 AS VARCHAR) || ', истина ' || CAST(a AS VARCHAR)]
+       WHEN l = '5' THEN other ELSE list_concat(mass, other) END, ' | ') AS errors
+FROM m WHERE l <> '1'"""
+
+
 QUERIES = {
+    "error_digest_large": (error_digest_large, _ERROR_DIGEST_LARGE),
+    "rescore_quality": (rescore_quality, _EVALUATE_QUALITY),
+    "rescore_errors": (rescore_errors, _RESCORE_ERRORS),
+    "raw_errors": (raw_errors, _RAW_ERRORS),
     "match_counts": (match_counts, _MATCH_COUNTS),
     "quality_micro": (quality_micro, _QUALITY_MICRO),
     "accuracy_macro": (accuracy_macro, _ACCURACY_MACRO),

@@ -9,8 +9,6 @@ from gleanmark.operators.salvage import process_responses
 from gleanmark.session import scratch_path
 from gleanmark.streaming import monitor as MON
 
-_TOTALS = {"click": 30000, "view": 30000, "signup": 30000, "purchase": 30000, "error": 30000}
-
 
 def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
@@ -21,7 +19,11 @@ def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _arriving(spark, sf_dir).select(
         F.col("event_type").alias("run_id"), (F.col("value") > 5).alias("is_valid"), F.col("value").alias("elapsed_s")
     )
-    state = MON.progress(log, _TOTALS)
+    # The texts of a run: its events and as many again as there are distinct users in it.
+    totals = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run_id")).agg(
+        (F.count("*") + F.count_distinct("user_id")).alias("total")
+    )
+    state = MON.progress(log, totals)
     path = scratch_path(spark, "progress")
     MON.write_updates(state, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     return MON.latest_updates(spark, f"{path}/rows", state.schema)
@@ -34,8 +36,8 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PROGRESS = """SELECT event_type AS run_id, count(*) AS processed, count(*) FILTER (WHERE value > 5) AS valid,
-  count(*) FILTER (WHERE NOT value > 5) AS invalid, 30000 - count(*) AS remaining, round(avg(value), 6) AS mean_s,
-  round(avg(value) * (30000 - count(*)), 3) AS eta_s FROM events GROUP BY 1"""
+  count(*) FILTER (WHERE NOT value > 5) AS invalid, count(DISTINCT user_id) AS remaining, round(avg(value), 6) AS mean_s,
+  round(avg(value) * count(DISTINCT user_id), 3) AS eta_s FROM events GROUP BY 1"""
 
 
 def over_budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanmark import vocabulary as V
@@ -19,8 +19,6 @@ from gleanmark.session import materialize
 
 TEXT_KEYS = ("run_id", "text_index")
 ENTRY_KEY = ("grp", "key_norm", "ckey", "unit_key")
-# Copies of one entry beyond which they are ranked block by block.
-HOT_GROUP = 100_000
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -93,19 +91,12 @@ def surplus_entries(entries: DataFrame, by: Sequence[str] = TEXT_KEYS) -> DataFr
     """The entries left over after matching, on either side.
 
     Matching consumes the earliest positions first, so of each distinct entry
-    the rows ranked after the matched count remain.  Groups of many copies are
-    ranked block by block, the others in one window.
+    the rows ranked after the matched count remain.
     """
+    entries = materialize(entries, "entries")
     matches = match_entries(entries, by).filter(F.col("n_pred") != F.col("n_true"))
     keys = [*by, *ENTRY_KEY]
-    # Usually a small part of the entries; the steps below start from it.
-    open_entries = materialize(entries.join(matches, keys), "open-entries")
-    size = F.greatest("n_pred", "n_true")
-    ordinary = open_entries.filter(size <= HOT_GROUP)
-    by_position = Window.partitionBy(*keys, "side").orderBy("pos")
-    ranked = ordinary.withColumn("_rank", F.row_number().over(by_position).cast("bigint")).unionByName(
-        running_total(open_entries.filter(size > HOT_GROUP), [*keys, "side"], "pos", "_rank")
-    )
+    ranked = running_total(entries.join(matches, keys), [*keys, "side"], "pos", "_rank")
     return ranked.filter(F.col("_rank") > F.col("tp")).drop("_rank", "tp", "n_pred", "n_true")
 
 

@@ -1,9 +1,9 @@
 """Running totals and order statistics that never put a whole group in one task.
 
-A window over ``PARTITION BY key`` sends all rows of a key to one task.  Here
-the ordering integer is cut into blocks by its high bits; totals per block are
-aggregated (with map-side combine), summed up over the few blocks of a key, and
-only the rows of one block are windowed together.
+A window over ``PARTITION BY key`` sends all rows of a key to one task.  Running
+totals put the rows into ranges instead, and order statistics narrow a
+histogram block by block; totals per range or block are aggregated with
+map-side combine, and only the rows of one range meet in a window.
 """
 from __future__ import annotations
 
@@ -12,56 +12,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanmark.session import materialize
+
 
 def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    name: str,
-    value: Column | None = None,
-    shifts: Sequence[int] = (20,),
+    df: DataFrame, keys: Sequence[str], order: str, name: str, value: Column | None = None
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` (default: rows) up to and including the row.
 
-    ``order`` is a non-negative integer column, unique within ``keys``.  A
-    window holds at most ``2**shifts[-1]`` rows or, for block totals, the
-    number of blocks on one level; more shifts make more, smaller levels.
+    ``order`` is unique within ``keys``.  Rows are put into ranges of (keys,
+    order) of about equal numbers of rows, however dense the values are, and
+    written once; a window holds one range, and the totals of a key, one row
+    for each of its ranges, give the offsets.
     """
     keys = list(keys)
     amount = F.lit(1) if value is None else value
-    blocks = [f"_block{i}" for i in range(len(shifts))]
-    rows = df.withColumns(
-        {"_amount": amount.cast("bigint")}
-        | {b: F.shiftright(F.col(order).cast("bigint"), s) for b, s in zip(blocks, shifts)}
-    )
-    totals = rows.groupBy(*keys, *blocks).agg(F.sum("_amount").alias("_total"))
-    offsets = None
-    for level, block in enumerate(blocks):
-        outer, inner = blocks[:level], blocks[: level + 1]
-        last = level == len(blocks) - 1
-        level_totals = (
-            totals
-            if last
-            else totals.groupBy(*keys, *inner).agg(F.sum("_total").alias("_total"))
-        )
-        before = (
-            Window.partitionBy(*keys, *outer).orderBy(block)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        step = level_totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-        if offsets is not None:
-            step = null_safe_join(step, offsets, [*keys, *outer]).withColumn(
-                "_before", F.col("_before") + F.col("_offset")
-            )
-        offsets = step.select(*keys, *inner, F.col("_before").alias("_offset"))
+    ranged = df.withColumn("_amount", amount.cast("bigint")).repartitionByRange(*keys, order)
+    rows = materialize(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = rows.groupBy(*keys, "_range").agg(F.sum("_amount").alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     upto = (
-        Window.partitionBy(*keys, *blocks).orderBy(order)
+        Window.partitionBy(*keys, "_range").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        null_safe_join(rows, offsets, [*keys, *blocks])
+        null_safe_join(rows, offsets, [*keys, "_range"])
         .withColumn(name, F.sum("_amount").over(upto) + F.col("_offset"))
-        .drop("_amount", "_offset", *blocks)
+        .drop("_amount", "_offset", "_range")
     )
 
 

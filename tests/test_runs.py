@@ -184,6 +184,38 @@ def test_many_errors_span_parts(spark):
     assert [m for p in parts for m in p.errors] == [str(i) for i in range(2500)]
 
 
+def test_digest_and_report_count_texts(spark, tmp_path):
+    rows = spark.range(2502).select(
+        F.lit("r").alias("run_id"), F.greatest(F.lit(1), F.col("id") - 2498).alias("text_index"), F.col("id").alias("ord"),
+        F.concat(F.lit("m"), F.col("id").cast("string")).alias("message"), F.lit("mass").alias("grp"),
+    )
+    texts = ER.errors_by_text(rows).withColumns({"text": F.col("text_index").cast("string"), "response": F.lit("")})
+    digest = ER.error_digest(texts).first()
+    assert [(t.text_index, len(t.errors)) for t in digest.texts] == [(1, 2500), (2, 1), (3, 1)]
+    assert digest.texts[0].errors == [f"m{i}" for i in range(2500)]
+    assert digest.lines == [f"Текст #1: m{i}" for i in range(10)]
+    lines = {r.line_no: r.line for r in T.error_report_lines(rows, rows).filter("grp = 'mass'").collect()}
+    assert lines[1] == "Всего ошибок: 3" and len(lines) == 5
+    assert lines[2].startswith("1. Текст #1: m0; m1; ") and lines[2].endswith("; m2499") and lines[4] == "3. Текст #3: m2501"
+
+
+def test_pools_and_leaderboard(spark, tmp_path):
+    for name in ("few_shot_examples_m-1_20250101_1200.csv", "few_shot_examples_other.csv", "else.csv"):
+        _write(tmp_path, name, "text,json\nx,y\n")
+    assert {r.model_key for r in T.list_pools(spark, str(tmp_path)).collect()} == {"m-1", "other"}
+    matrix = spark.createDataFrame([("b", "0.50"), ("a", "-")], "model_key string, A string")
+    T.export_leaderboard(matrix, str(tmp_path / "board"))
+    back = spark.read.csv(str(tmp_path / "board"), header=True).collect()
+    assert [(r.model_key, r.A) for r in back] == [("a", "-"), ("b", "0.50")]
+
+
+def test_truth_of_a_second_table(spark, tmp_path):
+    _write(tmp_path, "texts.csv", "text\none\ntwo\nthree\n")
+    spark.createDataFrame([(0, '{"a": 1}'), (2, "{}")], "text_index long, json string").write.parquet(str(tmp_path / "t.parquet"))
+    corpus = T.read_corpus(spark, str(tmp_path / "texts.csv"), str(tmp_path / "t.parquet"))
+    assert {r.text: r.truth_json for r in corpus.collect()} == {"one": '{"a": 1}', "two": None, "three": "{}"}
+
+
 def test_corpus_and_pool(spark, tmp_path):
     path = str(tmp_path / "corpus.csv")
     with open(path, "w", encoding="utf-8") as f:
@@ -217,7 +249,7 @@ def test_stream_equals_batch(spark, tmp_path):
     )
     rows.repartition(6).write.parquet(str(tmp_path / "log"))
     log = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "log"))
-    state = MON.progress(log, {"r0": 150, "r1": 100})
+    state = MON.progress(log, spark.createDataFrame([("r0", 150), ("r1", 100)], "run_id string, total int"))
     MON.write_updates(state, str(tmp_path / "rows"), str(tmp_path / "check")).awaitTermination()
     got = {r.run_id: r for r in MON.latest_updates(spark, str(tmp_path / "rows"), state.schema).collect()}
     for r in R.run_counters(rows).collect():

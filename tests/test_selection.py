@@ -18,11 +18,29 @@ def test_running_total_with_a_hot_key(spark):
     rows = [("hot", i * 7) for i in range(3000)] + [(f"k{rng.randint(0, 50)}", i * 1000003) for i in range(500)]
     rows += [(None, 5), (None, 2)]
     df = spark.createDataFrame(rows, "k string, o bigint")
-    for shifts in ((40, 20), (8,), (16, 8, 4)):
-        got = {(r.k, r.o): r.t for r in running_total(df, ["k"], "o", "t", shifts=shifts).collect()}
-        assert len(got) == len(rows)
-        for k, o in rows:
-            assert got[(k, o)] == sum(1 for a, b in rows if a == k and b <= o)
+    got = {(r.k, r.o): r.t for r in running_total(df, ["k"], "o", "t").collect()}
+    assert len(got) == len(rows)
+    for k, o in rows:
+        assert got[(k, o)] == sum(1 for a, b in rows if a == k and b <= o)
+
+
+def test_ranges_do_not_depend_on_density(spark):
+    """One key, positions all over 60 bits: the windows hold about equal shares."""
+    rng = random.Random(4)
+    positions = rng.sample(range(1 << 60), 4000)
+    df = spark.createDataFrame([("k", o) for o in positions], "k string, o bigint").repartition(8)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        out = running_total(df, ["k"], "o", "t")
+        assert sorted((r.o, r.t) for r in out.collect()) == [(o, i + 1) for i, o in enumerate(sorted(positions))]
+        sizes = [r["count"] for r in df.repartitionByRange("k", "o").groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 0.3 * len(positions)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def test_values_at_ranks(spark):
