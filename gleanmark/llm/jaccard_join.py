@@ -9,9 +9,8 @@ segments m. Two sets that link differ in at most H shingles, so if a set looks u
   reaches its own H + 1: hot or empty segments are skipped, others give one unit when looked up as they are and a
   second one with their one-deletion neighbourhoods. Costs are frequencies of subsets, estimated on one text in
   ``COST_SAMPLE``; they steer this choice only, any allocation finds every pair.
-* Sets that meet form families, the components of "met"; pairs are verified inside families only, by exact counts,
-  in blocks of ``BLOCK`` sets and pairs of blocks with compatible sizes. A task holds two blocks and gives a spanning
-  forest of their links, never all pairs.
+* Sets that meet form families, the components of "met"; pairs are verified inside families only, by exact counts
+  (see ``families``).
 
 Documents with equal sets are one node from the start, so copies are not expanded. Words are lower-cased (A-Z) runs
 outside white space; a text with fewer words than a shingle has one shingle of all of them. Sets are sets of 64-bit
@@ -20,23 +19,20 @@ hashes. Null, empty and wordless texts have an empty set and link with nothing.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from gleanmark.llm import arrays as A
 from gleanmark.llm.components import connected
-from gleanmark.llm.frames import free_name
+from gleanmark.llm.families import meeting, verified
 from gleanmark.session import materialize
 
-BLOCK = 512
 COST_SAMPLE = 16
 HOT_AT, HOT_LIST = 4, 1 << 17
 DELETION_SHARE = 16
@@ -173,8 +169,8 @@ def signatures(sets: Sets, rows: np.ndarray, band: np.ndarray, rule: Rule, hot:
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(probes)
 
 
-def with_sets(docs: DataFrame, rule: Rule, text: str = "text") -> Column:
-    """Struct of the number of shingles and the node of a text's set."""
+def with_sets(rule: Rule):
+    """Column function: struct of the number of shingles and the node of a text's set."""
     words = rule.words
 
     @arrow_udf("struct<n:bigint,node:bigint>")
@@ -185,7 +181,7 @@ def with_sets(docs: DataFrame, rule: Rule, text: str = "text") -> Column:
             node = np.concatenate([s.node for s in parts] or [np.zeros(0)]).astype(np.int64)
             yield pa.StructArray.from_arrays([pa.array(n), pa.array(node)], ["n", "node"])
 
-    return shingle_set(text)
+    return shingle_set
 
 
 def _subset_keys(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -241,138 +237,41 @@ def met(docs: DataFrame, rule: Rule) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key), pa.array(sets.node[owner]), pa.array(probe)], ["key", "node", "probe"])
 
-    rows = docs.select("text").mapInArrow(emit, "key bigint, node bigint, probe boolean")
-    order = Window.partitionBy("key").orderBy(F.desc("probe"), "node")
-    first = F.first(F.struct("probe", "node")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("first", first).where("first.probe and first.node <> node").select(
-        F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-
-
-class _Forest:
-    def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.parent[max(i, j)] = min(i, j)
-        return i != j
-
-
-def linked(sets: list[np.ndarray], left: list[int], right: list[int] | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``left``, or between ``left`` and ``right``, by exact intersection sizes."""
-    forest, out = _Forest(len(sets)), []
-    if right is None and len(left) <= 24:
-        for i, j in combinations(left, 2):
-            a, b = len(sets[i]), len(sets[j])
-            if 100 * min(a, b) < percent * max(a, b) or forest.root(i) == forest.root(j):
-                continue
-            same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * same >= percent * (a + b - same) and forest.join(i, j):
-                out.append((i, j))
-        return out
-    members = left if right is None else left + right
-    sizes = np.array([len(sets[i]) for i in members])
-    values = np.concatenate([sets[i] for i in members])
-    row = np.repeat(np.arange(len(members)), sizes)
-    _values, column, counts = np.unique(values, return_inverse=True, return_counts=True)
-    shared = counts > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[column]
-    row, column = row[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    n_left = len(left)
-    same = np.zeros((n_left, len(members) if right is None else len(right)), np.float32)
-    step = 4096
-    cuts = np.searchsorted(column, np.arange(0, int(shared.sum()) + step, step))
-    for k in range(len(cuts) - 1):
-        part = slice(cuts[k], cuts[k + 1])
-        dense = np.zeros((len(members), step), np.float32)
-        dense[row[part], column[part] - k * step] = 1
-        same += dense[:n_left] @ (dense if right is None else dense[n_left:]).T
-    same = same.astype(np.int64)
-    a, b = sizes[:n_left, None], (sizes if right is None else sizes[n_left:])[None, :]
-    for i, j in np.argwhere(100 * same >= percent * (a + b - same)):
-        x, y = members[i], members[j if right is None else n_left + j]
-        if x != y and forest.join(x, y):
-            out.append((x, y))
-    return out
-
-
-def _verify(members: DataFrame, rule: Rule) -> DataFrame:
-    """a, b: links inside the parts of ``members`` (unit, part, side, node, text), a spanning forest for each part.
-
-    A part has one side, and all its pairs are looked at, or two, and pairs are of one set of each.
-    """
-    words, percent = rule.words, rule.percent
-
-    def links(group: pa.Table) -> pa.Table:
-        node, part, side = (group.column(c).to_numpy() for c in ("node", "part", "side"))
-        sets: list[np.ndarray] = []
-        for piece in A.pieces(group.column("text").combine_chunks()):
-            s = Sets(piece, words)
-            sets += [s.values[s.first[i] : s.first[i + 1]] for i in range(piece.n)]
-        rows = defaultdict(lambda: ([], []))
-        for i in range(len(node)):
-            rows[int(part[i])][int(side[i])].append(i)
-        out = [pair for left, right in rows.values() for pair in linked(sets, left, right or None, percent)]
-        a, b = (np.array([node[p[k]] for p in out], np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    return members.groupBy("unit").applyInArrow(links, "a bigint, b bigint")
+    return meeting(docs.select("text").mapInArrow(emit, "key bigint, node bigint, probe boolean"))
 
 
 def links(docs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """a, b: exact links between nodes that span the components. ``known``: doc_id, n, node of ``docs``, written."""
+    """a, b: exact links between nodes that span the components. ``known``: doc_key, n, node of ``docs``, written."""
     families = connected(met(docs, rule))
-    sized = known.groupBy("node").agg(F.max("n").alias("n"))
-    ranked = families.join(sized, "node").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("root").orderBy("n", "node")) - 1)
-    placed = materialize(
-        ranked.select("node", "root", "n", F.floor(F.col("rank") / BLOCK).alias("block")), "families")
-    n_units = max(1, placed.count() // BLOCK)
-    spread = F.pmod(F.xxhash64("root", "block"), F.lit(n_units))
-    inside = placed.select("node", spread.alias("unit"), F.xxhash64("root", "block").alias("part"), F.lit(0).alias("side"))
-
-    edges = placed.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    upper = edges.select(F.col("root").alias("root_"), F.col("block").alias("block_"), F.col("low").alias("low_"))
-    pairs = edges.join(upper, (F.col("root") == F.col("root_")) & (F.col("block") < F.col("block_"))).where(
-        100 * F.col("high") >= rule.percent * F.col("low_"))
-    sides = pairs.select(F.xxhash64("root", "block", "block_").alias("part"), "root", F.explode(F.array(
-        F.struct(F.col("block").alias("block"), F.lit(0).alias("side")),
-        F.struct(F.col("block_").alias("block"), F.lit(1).alias("side")))).alias("x")).select("part", "root", "x.*")
-    across = placed.join(sides, ["root", "block"]).select("node", F.col("part").alias("unit"), "part", "side")
-
-    texts = materialize(_one_text(docs, known, placed, rule), "family-texts")
-    parts = inside.unionByName(across)
-    return _verify(parts.join(texts, "node").select("unit", "part", "side", "node", "text"), rule)
-
-
-def _one_text(docs: DataFrame, known: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """node, text: the text of one document of each node."""
-    chosen = known.join(nodes.select("node"), "node").groupBy("node").agg(F.min("doc_key").alias("doc_key"))
+    chosen = known.join(families, "node").groupBy("node").agg(
+        F.min("root").alias("root"), F.min("doc_key").alias("chosen_key"))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
-    return keyed.join(chosen, "doc_key").dropDuplicates(["node"]).select("node", "text")
+    members = keyed.join(chosen, F.col("doc_key") == F.col("chosen_key")).dropDuplicates(["node"])
+    words = rule.words
+
+    def sets_of(piece: A.Piece) -> list[np.ndarray]:
+        s = Sets(piece, words)
+        return [s.values[s.first[i] : s.first[i + 1]] for i in range(piece.n)]
+
+    return verified(members.select("node", "root", "text"), sets_of, rule.percent)
 
 
 def similar(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node and component_id (smallest id that links reach) of every row of ``docs``."""
+    """doc_id, doc_key, n_shingles, group and component_id (smallest id that links reach) of every row of ``docs``.
+
+    ``doc_key`` is a hash of id and text; ``group`` is the same number for all of a component.
+    """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     known = materialize(
-        docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), with_sets(docs, rule).alias("s"))
+        docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), with_sets(rule)("text").alias("s"))
         .select("doc_id", "doc_key", "s.n", "s.node"), "shingle-sets",
     )
     roots = connected(links(docs, known, rule)).select(F.col("node").alias("linked_node"), "root")
     rooted = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("smallest")).join(
         roots, F.col("node") == F.col("linked_node"), "left").select(
-        "node", "smallest", F.coalesce("root", "node").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = rooted.join(lowest, "root").select(F.col("node").alias("named_node"), "component_id")
+        "node", "smallest", F.coalesce("root", "node").alias("group"))
+    lowest = rooted.groupBy("group").agg(F.min("smallest").alias("component_id"))
+    named = rooted.join(lowest, "group").select(F.col("node").alias("named_node"), "group", "component_id")
     return known.join(named, (F.col("node") == F.col("named_node")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "doc_key", F.col("n").alias("n_shingles"), F.coalesce("group", "doc_key").alias("group"),
+        F.coalesce("component_id", "doc_id").alias("component_id"))

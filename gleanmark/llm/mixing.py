@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from gleanmark.llm import arrays as A
-from gleanmark.llm.frames import free_name
+from gleanmark.llm.frames import free_name, running_start
 from gleanmark.session import materialize
 
 BLOCK_WORDS = 256
@@ -44,30 +44,6 @@ def word_count(text: str) -> Column:
     return n_words(text)
 
 
-def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
-    """All the columns are equal, null to null."""
-    out = F.lit(True)
-    for c in columns:
-        out = out & left[c].eqNullSafe(right[c])
-    return out
-
-
-def running_start(rows: DataFrame, key: str, bucket: str, order: list[str], value: str | None) -> DataFrame:
-    """``rows`` with ``start``: the sum of ``value`` (or the number of rows) of the key's rows before, in the order
-    of bucket and ``order``. ``rows`` is read twice and should be a written table."""
-    amount = F.col(value) if value else F.lit(1).cast("long")
-    totals = rows.groupBy(key, bucket).agg(F.sum(amount).alias("total"))
-    over = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col(key).alias("o_key"), F.col(bucket).alias("o_bucket"),
-                            F.coalesce(F.sum("total").over(over), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return (
-        numbered.join(offsets, F.col(key).eqNullSafe(F.col("o_key")) & F.col(bucket).eqNullSafe(F.col("o_bucket")))
-        .withColumn("start", F.col("inside") + F.col("offset")).drop("inside", "o_key", "o_bucket", "offset")
-    )
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """source, source_size, target and weight of every source; one row per source.
 
@@ -178,10 +154,14 @@ def pieces_taken(sized: DataFrame, goals: DataFrame, slots: DataFrame, block: in
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: a row for every pass that takes words of the document, with its whole text.
 
-    The one document of a source in which the target ends is kept whole.
+    The one document of a source in which the target ends is kept whole. Texts move once, to be joined to their number
+    of copies; identical rows add up their copies.
     """
-    name = free_name(docs, "mix_row")
-    rows = docs.withColumn(name, F.struct(*docs.columns))
-    taken = mix(rows.select("doc_id", "source", "text", name), carry=("doc_id", name), **options)
-    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
-    return taken.where("taken > 0").withColumn("copy", copies).select(f"{name}.*")
+    key, copies, nth = (free_name(docs, w) for w in ("mix_key", "mix_copies", "mix_nth"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
+    taken = mix(keyed.select("doc_id", "source", "text", F.col(key).alias("mix_key")), carry=("doc_id", "mix_key"), **options)
+    times = taken.where("taken > 0").groupBy(F.col("mix_key").alias("k")).agg(
+        F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(copies))
+    first = Window.partitionBy(key).orderBy(key)
+    joined = keyed.join(times, F.col(key) == F.col("k")).withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
