@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmark.llm import bpe, fingerprints, html_extraction, jaccard_join, langid, licenses, line_rules, mixing, quality
+from gleanmark.llm import bpe, fingerprints, html_extraction, jaccard_join, langid, licenses, line_dedup, line_rules, mixing, quality
 from gleanmark.llm.frames import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,12 +53,12 @@ WITH RECURSIVE docs AS (
 ), links AS (
   SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
   WHERE 100 * same >= 85 * (x.n + y.n - same)
-), both AS (
+), edges AS (
   SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reached AS (
   SELECT doc_id, doc_id AS other FROM docs
   UNION
-  SELECT r.doc_id, l.b FROM reached r JOIN both l ON r.other = l.a
+  SELECT r.doc_id, l.b FROM reached r JOIN edges l ON r.other = l.a
 )
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.other) AS component_id
 FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN reached r USING (doc_id) GROUP BY d.doc_id, s.n
@@ -155,6 +155,55 @@ FROM placed
 """
 
 
+OP8_SQL = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), numbered AS (
+  SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS no FROM rows
+), line AS (
+  SELECT doc_id, no, lines[no] AS line, regexp_matches(lines[no], '[^\x20\x09-\x0D]') AS filled FROM numbered
+), distinct_lines AS (
+  SELECT line, row_number() OVER (ORDER BY line) AS node FROM (SELECT DISTINCT line FROM line WHERE filled)
+), spans AS (
+  SELECT node, line, unnest(range(1, greatest(1, length(line) - 7) + 1)) AS i FROM distinct_lines
+), shingles AS (
+  SELECT DISTINCT node, substr(line, i, 8) AS shingle FROM spans
+), sizes AS (
+  SELECT node, count(*) AS n FROM shingles GROUP BY node
+), common AS (
+  SELECT a.node AS a, b.node AS b, count(*) AS same
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.node < b.node GROUP BY a.node, b.node
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.node = a JOIN sizes y ON y.node = b
+  WHERE 100 * same >= 80 * (x.n + y.n - same)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT node, node AS other FROM distinct_lines
+  UNION
+  SELECT r.node, e.b FROM reached r JOIN edges e ON r.other = e.a
+), roots AS (
+  SELECT node, min(other) AS root FROM reached GROUP BY node
+), placed AS (
+  SELECT l.doc_id, l.no, l.line, l.filled,
+         row_number() OVER (PARTITION BY r.root ORDER BY l.doc_id, l.no) AS nth
+  FROM line l LEFT JOIN distinct_lines d ON l.filled AND l.line = d.line LEFT JOIN roots r ON r.node = d.node
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text FROM placed WHERE NOT filled OR nth = 1 GROUP BY doc_id
+)
+SELECT r.doc_id, coalesce(length(k.text), 0) AS n_chars, sha256(coalesce(k.text, '')) AS text_sha256
+FROM rows r LEFT JOIN kept k USING (doc_id)
+"""
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select(
+        "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identified(docs, langid.train(*langid.labelled_sample(docs)))
@@ -172,6 +221,7 @@ QUERIES: dict[str, tuple] = {
     "op5_line_rules": (op5_line_rules, OP5_SQL),
     "op6_license_scan": (op6_license_scan, licenses.scan_sql()),
     "op7_source_mix": (op7_source_mix, OP7_SQL),
+    "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_fingerprints": (op10_fingerprints, None),
 }
