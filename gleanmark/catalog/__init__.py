@@ -1,9 +1,9 @@
 """Registered queries over the provided tables, each with SQL where it is feasible."""
 from __future__ import annotations
 
-from gleanmark.catalog import matching, profiles, prompts, runs, salvage, selection, stream
+from gleanmark.catalog import files, matching, profiles, prompts, runs, salvage, selection, stream
 
-MODULES = (matching, salvage, selection, profiles, runs, prompts, stream)
+MODULES = (matching, salvage, selection, profiles, runs, prompts, files, stream)
 
 
 def queries() -> dict:
