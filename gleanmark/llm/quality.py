@@ -63,12 +63,15 @@ class Network:
 
 
 def _laid_out(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-    """Texts padded with zero bytes to whole half chunks, at least two each; and the half chunks of each text."""
+    """Texts padded with zero bytes to whole half chunks, at least two each; and the half chunks of each text.
+
+    A text starts with some zero bytes, so that the last window of the one before reads nothing of it.
+    """
     sizes = np.diff(piece.offsets)
-    halves = np.maximum(2, -(-sizes // SPAN))
+    halves = np.maximum(2, -(-(sizes + WIDTH) // SPAN))
     begins = np.concatenate([[0], np.cumsum(halves)]) * SPAN
     data = np.zeros(begins[-1] + WIDTH, np.uint8)
-    shift = np.repeat(begins[:-1] - piece.offsets[:-1], sizes)
+    shift = np.repeat(begins[:-1] + WIDTH - piece.offsets[:-1], sizes)
     data[np.arange(len(piece.data)) + shift] = piece.data
     return data, halves
 

@@ -28,22 +28,31 @@ def test_gradients():
 
     for weights, gradient in zip(net.weights(), quality._gradients(net, piece, y, w), strict=True):
         i = np.unravel_index(np.abs(gradient).argmax(), gradient.shape)
-        was, step = weights[i], 1e-2
+        was, step = weights[i], 2e-3
         weights[i] = was + step
         up = loss()
         weights[i] = was - step
         down = loss()
         weights[i] = was
-        assert abs((up - down) / (2 * step) - gradient[i]) < 0.05 * abs(gradient[i]) + 1e-3
+        assert abs((up - down) / (2 * step) - gradient[i]) < 0.08 * abs(gradient[i]) + 2e-3
 
 
 def test_whole_text_counts(spark):
-    net = quality.train(["good words here"] * 30 + ["BAD!! " * 20] * 30, [1] * 30 + [0] * 30, epochs=10)
+    good, bad = [f"good words here {i} " * (i % 40 + 1) for i in range(90)], [f"good {i} " * i + "BAD!! " * 20 for i in range(90)]
+    net = quality.train(good + bad, [1] * 90 + [0] * 90, epochs=40)
     (piece,) = pieces(pa.array(["good words here " * 500, "good words here " * 500 + "BAD!! " * 60]), 1 << 30)
     first, second = quality.forward(net, net.tables(), piece)
     assert first > 0.5 > second
 
 
+def test_neighbours_do_not_matter():
+    net = quality.Network.start(1)
+    texts = ["", "a", "x" * 59, "y" * 60, "z" * 64, "w" * 200, "", "v" * 127]
+    (together,) = pieces(pa.array(texts), 1 << 30)
+    alone = [quality.forward(net, net.tables(), next(pieces(pa.array([t]))))[0] for t in texts]
+    assert np.allclose(quality.forward(net, net.tables(), together), alone, atol=1e-6)
+
+
 def test_odd_rows(odd_documents, no_documents, spark):
     net = quality.train([], [])
     found = quality.scored(odd_documents, net).collect()
