@@ -108,7 +108,7 @@ def schedule(goals: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2,
         block: int = BLOCK_WORDS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns, size, source_size, target and taken of every row of ``docs`` (doc_id, source, text)."""
+    """``carry`` columns, source, size, source_size, target, taken of every row of ``docs`` (doc_id, source, text)."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = materialize(
         docs.select(*carry, "source", word_count("text").alias("size"), key.alias("key"))
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         targets(sized, weights, share, most).withColumn("quota", F.floor("target").cast("long")), "mix-targets"
     )
     taken = pieces_taken(sized, goals, schedule(goals, block), block, carry)
-    return taken.select(*carry, "size", "source_size", "target", "taken")
+    return taken.select(*carry, "source", "size", "source_size", "target", "taken")
 
 
 def pieces_taken(sized: DataFrame, goals: DataFrame, slots: DataFrame, block: int, carry: tuple[str, ...]) -> DataFrame:
