@@ -1,37 +1,38 @@
 """Session settings and the shared folder for intermediate tables."""
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanmark.functions import jsonvalue as J
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the few session options the operators rely on."""
+    """Set the few session options the operators rely on, and let tasks import this package from where it lies.
+
+    On a cluster whose machines do not share this folder, install the package
+    or pass it with ``--py-files``.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     J.last_key_wins(spark)
+    tasks = spark.sparkContext.environment
+    paths = [p for p in tasks.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        tasks["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's checkpoint folder.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="gleanmark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """Folder for intermediate tables: the cluster's checkpoint folder, else its warehouse, which is shared too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
+    """A fresh path below the shared folder; ``<folder>/gleanmark`` can be removed when no query runs."""
     return f"{shared_folder(spark).rstrip('/')}/gleanmark/{name}-{uuid.uuid4().hex}"
 
 
