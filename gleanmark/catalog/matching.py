@@ -267,14 +267,16 @@ def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = M.entry_errors(entries).join(about, ["run_id", "text_index"])
     parse = ER.parse_errors(processed).withColumn("prompt", F.lit(None).cast("string"))
     checks = processed.filter(~F.col("raw_valid") | ~F.col("parsed_valid")).select(
-        "run_id", "text_index", F.col("raw_output").alias("response"), prompt
+        "run_id", "text_index", F.col("raw_output").alias("response"), prompt,
+        F.col("raw_output").alias("initial_response"),
+        F.when(~F.col("raw_valid"), "raw").otherwise("parsed").alias("validation_errors"),
     )
     return ER.unified_errors(parse, quality, checks)
 
 
 def unified_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unified(spark, sf_dir).select(
-        "run_id", "text_index", "part", "text", "response", "prompt",
+        "run_id", "text_index", "part", "text", "response", "prompt", "initial_response", "validation_errors",
         F.array_join("errors", " | ").alias("errors"),
     )
 
@@ -304,7 +306,8 @@ u AS (
 )
 """
 _UNIFIED_ERRORS = f"""WITH {_UNIFIED_CTE}
-SELECT run_id, text_index, part, text, response, prompt, array_to_string(errs, ' | ') AS errors FROM u"""
+SELECT run_id, text_index, part, text, response, prompt, CASE WHEN len(errs) > 1 THEN response END AS initial_response,
+  CASE WHEN len(errs) > 1 THEN 'raw' END AS validation_errors, array_to_string(errs, ' | ') AS errors FROM u"""
 
 
 def error_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

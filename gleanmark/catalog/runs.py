@@ -8,6 +8,7 @@ from gleanmark import vocabulary as V
 from gleanmark.catalog.inputs import table
 from gleanmark.operators import leaderboard as LB
 from gleanmark.operators import runs as R
+from gleanmark.session import materialize
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +112,9 @@ SELECT model_key, method, upper(left(method, 1)) AS alias, round(value, 6) AS va
 
 
 def leaderboard_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    board = LB.leaderboard(_quality_cells(spark, sf_dir), "validation", baseline="en")
-    rounded = LB.leaderboard(_quality_cells(spark, sf_dir), "validation", baseline="en", rounded=True)
+    cells = materialize(_quality_cells(spark, sf_dir), "cells")
+    board = LB.leaderboard(cells, "validation", baseline="en")
+    rounded = LB.leaderboard(cells, "validation", baseline="en", rounded=True)
     return board.select("model_key", "method", "cell", "sign").join(
         rounded.select("model_key", "method", F.coalesce(F.round("delta", 6), F.lit(9.0)).alias("rounded_delta")),
         ["model_key", "method"],
@@ -189,6 +191,40 @@ a AS (SELECT method, avg(delta) FILTER (WHERE abs(base) >= 1e-6) AS d FROM f GRO
 SELECT method, coalesce(round(d, 6), 9.0) AS avg_delta, CAST(coalesce(sign(d), 0) AS INT) AS sign FROM a"""
 
 
+def avg_delta_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    board = LB.leaderboard(_quality_cells(spark, sf_dir), "validation", baseline="en")
+    return LB.avg_delta(board, "validation").select("method", F.coalesce(F.round("avg_delta", 6), F.lit(9.0)).alias("avg_delta"), "sign")
+
+
+_AVG_DELTA_VALIDATION = f"""WITH {_CELLS_CTE},
+a AS (SELECT method, avg(CASE WHEN method <> 'en' THEN value - base END) AS d FROM f GROUP BY method)
+SELECT method, coalesce(round(d, 6), 9.0) AS avg_delta, CAST(coalesce(sign(d), 0) AS INT) AS sign FROM a"""
+
+
+def _avg_event_delta(spark: SparkSession, sf_dir: str, value: Column, metric: str) -> DataFrame:
+    board = LB.leaderboard(_event_cells(spark, sf_dir, value), metric, baseline="click")
+    return LB.avg_delta(board, metric).select("method", F.coalesce(F.round("avg_delta", 6), F.lit(-1e9)).alias("avg_delta"), "sign")
+
+
+def avg_delta_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _avg_event_delta(spark, sf_dir, F.max("value"), "latency")
+
+
+def avg_delta_gpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _avg_event_delta(spark, sf_dir, F.min("value"), "gpu")
+
+
+_AVG_EVENT_DELTA = """WITH c AS (
+  SELECT CAST(user_id AS VARCHAR) AS model_key, event_type AS method, {agg}(value) AS value FROM events GROUP BY ALL
+),
+f AS (
+  SELECT c.method, CASE WHEN c.method <> 'click' AND NOT ({zero}) AND NOT ({base_zero}) THEN c.value - b.value END AS delta
+  FROM c LEFT JOIN c b ON b.model_key = c.model_key AND b.method = 'click'
+),
+a AS (SELECT method, avg(delta) AS d FROM f GROUP BY method)
+SELECT method, coalesce(round(d, 6), -1e9) AS avg_delta, CAST(coalesce(sign(-d), 0) AS INT) AS sign FROM a"""
+
+
 def leaderboard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = LB.leaderboard(_quality_cells(spark, sf_dir).drop("raw"), "f1", baseline="en")
     return LB.matrix(board, ["de", "en", "es", "fr"])
@@ -379,6 +415,10 @@ QUERIES = {
     "leaderboard_matrix": (leaderboard_matrix, _LEADERBOARD_MATRIX),
     "best_per_method": (best_per_method, _BEST_PER_METHOD),
     "avg_delta": (avg_delta, _AVG_DELTA),
+    "avg_delta_validation": (avg_delta_validation, _AVG_DELTA_VALIDATION),
+    "avg_delta_latency": (avg_delta_latency, _AVG_EVENT_DELTA.format(
+        agg="max", zero="abs(c.value) < 1e-6", base_zero="coalesce(abs(b.value), 0) < 1e-6")),
+    "avg_delta_gpu": (avg_delta_gpu, _AVG_EVENT_DELTA.format(agg="min", zero="false", base_zero="false")),
     "method_alias": (method_alias, _METHOD_ALIAS),
     "main_methods": (main_methods, f"WITH {_SERVED_CTE} SELECT * FROM s WHERE method = '{V.BASELINE_METHOD}'"),
     "backend_slice": (backend_slice, _BACKEND_SLICE),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanmark import vocabulary as V
@@ -92,8 +92,8 @@ def leaderboard(
     if rounded:
         value = N.fixed(value, 2).cast("double")
     table = with_alias(cells).withColumn("value", value).withColumn("_is_base", F.col("method") == base)
-    own = table.filter("_is_base").select("model_key", F.col("value").alias("baseline_value"))
-    table = table.join(own, "model_key", "left")
+    own = F.max(F.when(F.col("_is_base"), F.col("value"))).over(Window.partitionBy("model_key"))
+    table = table.withColumn("baseline_value", own)
     if rule.zero_is_empty:
         empty = F.col("value").isNull() | (F.abs("value") < 1e-6)
     else:
@@ -120,10 +120,10 @@ def leaderboard(
         )
     table = table.withColumn("cell", F.when(empty, F.lit("-")).otherwise(F.coalesce(text, F.lit("-"))))
     if rule.marks_best:
-        best = best_per_method(table.filter(~F.col("empty")), rule.lower_is_better)
-        table = table.join(
-            best.select("method", F.col("model_key").alias("_best")), "method", "left"
-        ).withColumn("is_best", F.coalesce(F.col("model_key") == F.col("_best"), F.lit(False))).drop("_best")
+        goodness = F.col("value") if rule.lower_is_better else -F.col("value")
+        order = F.when(~F.col("empty"), F.struct(goodness, F.col("model_key")))
+        best = F.min_by("model_key", order).over(Window.partitionBy("method"))
+        table = table.withColumn("is_best", F.coalesce(F.col("model_key") == best, F.lit(False)))
     else:
         table = table.withColumn("is_best", F.lit(False))
     return table.drop("_is_base")

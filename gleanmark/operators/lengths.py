@@ -3,14 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanmark import vocabulary as V
 from gleanmark.functions import jsonvalue as J
 from gleanmark.functions import text as TX
 from gleanmark.operators.salvage import parse_lenient
-from gleanmark.plans.ranks import values_at_ranks
 
 Counter = Callable[[Column], Column]
 
@@ -44,20 +43,31 @@ def length_profile(
     # A third of the texts may share a length: count equal lengths first.
     histogram = lengths.groupBy(*by, "_len").agg(F.count(F.lit(1)).alias("_w"))
 
-    def rank(q: float) -> Column:
-        whole = F.floor(F.col("n") * F.lit(q))
-        return F.when(whole == 0, F.col("n")).otherwise(whole)
+    def at_rank(q: float) -> Column:
+        whole = F.floor(F.col("_n") * F.lit(q))
+        return _value_at(F.when(whole == 0, F.col("_n")).otherwise(whole), "_len").alias(f"p{int(q * 100)}")
 
-    ranks = {f"p{int(q * 100)}": rank(q) for q in (0.9, 0.95, 0.99)}
-    at_ranks = values_at_ranks(histogram, by, "_len", ranks, weight="_w").drop("n")
-    moments = histogram.groupBy(*by).agg(
+    return _ranked(histogram, by, "_len").groupBy(*by).agg(
         F.sum("_w").alias("n"), F.min("_len").alias("min_len"), F.max("_len").alias("max_len"),
         (F.sum(F.col("_len") * F.col("_w")) / F.sum("_w")).alias("mean_len"),
+        *[at_rank(q) for q in (0.9, 0.95, 0.99)],
     )
-    if not by:
-        both = moments.withColumn("_one", F.lit(1)).join(at_ranks.withColumn("_one", F.lit(1)), "_one")
-        return both.drop("_one")
-    return moments.join(at_ranks, list(by))
+
+
+def _ranked(histogram: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Add ``_upto``, the weight up to and including the value, and ``_n``, that of the group.
+
+    A group has a row for each distinct number of tokens, so at most as many
+    as its longest text has tokens.
+    """
+    group = Window.partitionBy(*by)
+    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return histogram.withColumns({"_upto": F.sum("_w").over(upto), "_n": F.sum("_w").over(group)})
+
+
+def _value_at(rank: Column, value: str) -> Column:
+    """Aggregate: the value at a rank, counted from 1."""
+    return F.min(F.when(F.col("_upto") >= rank, F.col(value)))
 
 
 def recommend_budget(
@@ -119,29 +129,27 @@ def token_summary(
         counter(shown).cast("bigint").alias("prompt_tokens"),
         counter(output).cast("bigint").alias("output_tokens"),
     )
-    used = ~F.col("_empty")
     # One pass to a histogram of token counts; all figures come from it.
-    pairs = counted.groupBy(*by, "_empty", "prompt_tokens", "output_tokens").agg(
-        F.count(F.lit(1)).alias("_w")
+    pairs = counted.groupBy(*by, "_empty", "prompt_tokens", "output_tokens").agg(F.count(F.lit(1)).alias("_w"))
+    entry = lambda what, value: F.struct(F.lit(what).alias("_what"), value.alias("_value"))
+    listed = F.when(F.col("_empty"), F.array(entry("skipped", F.lit(0).cast("bigint")))).otherwise(
+        F.array(entry("prompt", F.col("prompt_tokens")), entry("output", F.col("output_tokens")))
     )
-    mean = lambda col: F.sum(F.when(used, F.col(col) * F.col("_w"))) / F.sum(F.when(used, F.col("_w")))
-    summary = pairs.groupBy(*by).agg(
-        F.sum(F.when(used, F.col("_w")).otherwise(0)).alias("rows"),
-        F.sum("_w").alias("rows_in_file"),
-        F.sum(F.when(~used, F.col("_w")).otherwise(0)).alias("skipped_empty_output"),
-        mean("prompt_tokens").alias("avg_prompt_tokens"),
-        mean("output_tokens").alias("avg_output_tokens"),
+    histogram = (
+        pairs.select(*by, "_w", F.inline(listed)).groupBy(*by, "_what", "_value").agg(F.sum("_w").alias("_w"))
+    )
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    figures = _ranked(histogram, [*by, "_what"], "_value").groupBy(*by, "_what").agg(
+        F.sum("_w").alias("_rows"), (F.sum(F.col("_value") * F.col("_w")) / F.sum("_w")).alias("_mean"),
+        ((_value_at(low, "_value") + _value_at(high, "_value")) / 2).alias("_median"),
+    )
+    of = lambda what, column: F.max(F.when(F.col("_what") == what, F.col(column)))
+    rows, skipped = (F.coalesce(of(what, "_rows"), F.lit(0)) for what in ("prompt", "skipped"))
+    return figures.groupBy(*by).agg(
+        rows.alias("rows"), (rows + skipped).alias("rows_in_file"), skipped.alias("skipped_empty_output"),
+        of("prompt", "_mean").alias("avg_prompt_tokens"), of("output", "_mean").alias("avg_output_tokens"),
+        of("prompt", "_median").alias("median_prompt_tokens"), of("output", "_median").alias("median_output_tokens"),
     )
-    for col in ("prompt_tokens", "output_tokens"):
-        middle = values_at_ranks(
-            pairs.filter(used), by, col,
-            {"_lo": F.floor((F.col("n") + 1) / 2), "_hi": F.floor(F.col("n") / 2) + 1}, weight="_w",
-        )
-        summary = summary.join(
-            middle.select(*by, ((F.col("_lo") + F.col("_hi")) / 2).alias(f"median_{col}")),
-            list(by), "left",
-        )
-    return summary
 
 
 def token_totals(summary: DataFrame) -> DataFrame:
@@ -219,6 +227,7 @@ def resolve_template(name: Column, folder: Column, templates: Sequence[str], def
         ]
         return F.coalesce(exists(bare), exists(F.try_element_at(aliases, bare)), *cut)
 
+    # Folder names of templates; above, the decoder suffixes.
     hint = TX.blank_to_null(
         F.regexp_extract(folder, r"(DETAILED_INSTR_[A-Z0-9_]+|MINIMAL_INSTR_[A-Z0-9_]+)", 1)
     )

@@ -55,27 +55,29 @@ def _compare(queries: pd.DataFrame, targets: pd.DataFrame, k: int) -> list[list[
 
 
 def neighbour_distances(
-    df: DataFrame, key: str, embedding: str, k: int, block_rows: int = 8192, max_pivots: int = 256
+    df: DataFrame, key: str, embedding: str, k: int, block_rows: int = 1024, pivots: int = 8
 ) -> DataFrame:
     """Mean cosine distance of every vector to its ``k`` nearest others.
 
     ``key`` is a unique integer.  With fewer than ``k`` others all are used; a
-    lone vector scores 0.
+    lone vector scores 0.  ``pivots`` cells are cut into blocks of about
+    ``block_rows`` vectors.  Where the bounds rule out no cell, as for vectors
+    spread evenly in many dimensions, all blocks meet: the cost is that of all
+    pairs, and every vector is sent once for each block it meets.
     """
     vectors = df.select(
         F.col(key).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("vec")
     )
     total = vectors.count()
-    n_pivots = max(1, min(max_pivots, total // block_rows))
-    pivots = _matrix(
-        vectors.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()["vec"]
+    centres = _matrix(
+        vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()["vec"]
         if total else pd.Series([[0.0]])
     )
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             unit = _matrix(batch["vec"])
-            gap = _gap(1.0 - unit @ pivots.T)
+            gap = _gap(1.0 - unit @ centres.T)
             cell = gap.argmin(axis=1)
             away = gap[np.arange(len(cell)), cell]
             # A zero vector is at cosine distance 1 from all: it has no place
@@ -85,8 +87,8 @@ def neighbour_distances(
 
     placed = vectors.mapInPandas(assign, "id bigint, vec array<double>, cell int, away double")
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).toPandas()
-    blocks = np.ones(len(pivots), dtype=np.int64)
-    radius = np.full(len(pivots), -1.0)
+    blocks = np.ones(len(centres), dtype=np.int64)
+    radius = np.full(len(centres), -1.0)
     for row in cells.itertuples():
         blocks[row.cell] = -(-row.n // block_rows)
         radius[row.cell] = row.radius
@@ -113,13 +115,13 @@ def neighbour_distances(
             unit = _matrix(batch["vec"])
             reach = _gap(batch["bound"].to_numpy()) + _SLACK
             reach = np.where(np.abs(unit).sum(axis=1) == 0, np.inf, reach)
-            needed = (_gap(1.0 - unit @ pivots.T) - radius <= reach[:, None]) & used
+            needed = (_gap(1.0 - unit @ centres.T) - radius <= reach[:, None]) & used
             row, cell = np.nonzero(needed)
             yield batch.iloc[row][["id", "vec"]].assign(cell=cell.astype(np.int32))
 
     queries = bounded.mapInPandas(route, "id bigint, vec array<double>, cell int")
     # In a cell every target block meets every block of the queries routed there.
-    visits = np.ones(len(pivots), dtype=np.int64)
+    visits = np.ones(len(centres), dtype=np.int64)
     for row in queries.groupBy("cell").count().toPandas().itertuples():
         visits[row.cell] = -(-row[2] // block_rows)
     n_visits = F.array(*[F.lit(int(v)) for v in visits])
@@ -152,14 +154,14 @@ def neighbour_distances(
 
 def knn_outliers(
     df: DataFrame, key: str = "text_index", embedding: str = "embedding", k: int = 20,
-    percentile: float = 95.0, block_rows: int = 8192,
+    percentile: float = 95.0, block_rows: int = 1024, pivots: int = 8,
 ) -> DataFrame:
     """Flag the vectors whose neighbour distance lies above the percentile of all.
 
     The percentile interpolates between two order statistics, which are found
     without gathering the scores.
     """
-    scores = materialize(neighbour_distances(df, key, embedding, k, block_rows), "scores")
+    scores = materialize(neighbour_distances(df, key, embedding, k, block_rows, pivots), "scores")
     scores = scores.withColumn("_step", F.round(F.col("outlier_score") * _SCORE_SCALE).cast("bigint"))
     position = (F.col("n") - 1) * F.lit(percentile / 100.0)
     low = F.floor(position)

@@ -10,15 +10,19 @@ from gleanmark import vocabulary as V
 from gleanmark.functions import numbers as N
 from gleanmark.functions import text as TX
 
+# Endings of stored names (date and time, quantization tags, time of a result file).
 _DATE_SUFFIX = r"_\d{8}(_\d{4})?$"
+_QUANT_TAG = r"(?i)-(q[0-9]+(?:_[0-9A-Za-z]+)*)$"
+_FLOAT_TAG = r"(?i)-(fp16|bf16)$"
+_FILE_TIME = r"_\d{4}$|_\d{8}_\d{4}$"
 
 
 def quantization(tag: Column) -> Column:
     """Quantization part of a model tag, upper-cased; UNKNOWN without one."""
     name = TX.strip(F.coalesce(tag, F.lit("")))
     found = F.coalesce(
-        TX.blank_to_null(F.regexp_extract(name, r"(?i)-(q[0-9]+(?:_[0-9A-Za-z]+)*)$", 1)),
-        TX.blank_to_null(F.regexp_extract(name, r"(?i)-(fp16|bf16)$", 1)),
+        TX.blank_to_null(F.regexp_extract(name, _QUANT_TAG, 1)),
+        TX.blank_to_null(F.regexp_extract(name, _FLOAT_TAG, 1)),
     )
     return F.coalesce(F.upper(found), F.lit("UNKNOWN"))
 
@@ -82,7 +86,7 @@ def derive_method(df: DataFrame) -> DataFrame:
 def name_from_file(file_name: Column) -> Column:
     """Model name from a result file name: prefix, extension and time removed."""
     stem = F.replace(F.replace(file_name, F.lit("results_"), F.lit("")), F.lit(".csv"), F.lit(""))
-    name = F.regexp_replace(stem, r"_\d{4}$|_\d{8}_\d{4}$", "")
+    name = F.regexp_replace(stem, _FILE_TIME, "")
     cut = F.regexp_replace(stem, r"_[^_]*$", "")
     return F.when(name != "", name).when(stem.contains("_"), cut).otherwise("unknown")
 

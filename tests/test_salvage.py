@@ -230,7 +230,7 @@ def test_validate_against_pydantic(spark):
 
 def test_prompt_fill_leaves_inserted_braces(spark):
     row = spark.range(1).select(
-        P.fill(F.lit("a {{x}} {text} {other} {text}"), text=F.lit("{text} {{y}}")).alias("p")
+        P.fill("a {{x}} {text} {other} {text}", text=F.lit("{text} {{y}}")).alias("p")
     ).first()
     assert row.p == "a {x} {text} {{y}} {other} {text} {{y}}"
 
