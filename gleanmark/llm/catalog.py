@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanmark.llm import bpe, fingerprints, html_extraction, jaccard_join, langid, licenses, line_dedup, line_rules, mixing, quality
-from gleanmark.llm.frames import documents
+from gleanmark.llm.frames import documents, prepared
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -228,7 +228,7 @@ QUERIES: dict[str, tuple] = {
 
 
 def queries() -> dict:
-    return {name: query for name, (query, _sql) in QUERIES.items()}
+    return {name: prepared(query) for name, (query, _sql) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,9 +1,24 @@
 """Small helpers on DataFrames shared by the operators."""
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanmark.session import prepare
+
+
+def prepared(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query or stage, whose first argument is the session, with the session prepared."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        return query(prepare(spark), *args)
+
+    return run
+
 
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that ``df`` does not have yet, also not in other letter case."""
