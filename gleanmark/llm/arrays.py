@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
@@ -49,9 +49,11 @@ class Piece(NamedTuple):
 
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
     """Cut a string column into pieces of at most ``limit`` bytes, or one text where that is longer. Null is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     _valid, offsets, data = column.buffers()
     n = len(column)
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
@@ -151,6 +153,17 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLDEN)
 
 
+def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """``run_hashes`` of the k values from every place on."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = _power_tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * down[:n] + np.full(1, k, np.uint64) * _GOLDEN)
+
+
 def within(keys: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Hashes that tell equal keys of different groups apart."""
     return mix(keys + group.astype(np.uint64) * _GOLDEN)

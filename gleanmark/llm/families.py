@@ -160,14 +160,28 @@ def verified(members: DataFrame, sets_of: SetsOf, percent: int) -> DataFrame:
 
     ``members`` has one row per node: node, root (the family), text.
     """
-    texts = materialize(members.withColumn("m", _measures(sets_of)("text")).select("node", "root", "text", "m.*"), "family-texts")
+    members = materialize(members.select("node", "root", "text"), "family-texts")
+    counts = members.groupBy("root").agg(F.count("*").alias("members")).select(F.col("root").alias("family"), "members")
+    sized = members.join(counts, F.col("root") == F.col("family")).drop("family")
+    n_units = max(1, members.count() // BLOCK)
+    small = sized.where(F.col("members") <= BLOCK).select(
+        F.pmod(F.xxhash64("root"), F.lit(n_units)).alias("unit"), F.col("root").alias("part"), F.lit(0).alias("side"), "node", "text")
+    large = _large(sized.where(F.col("members") > BLOCK).select("node", "root", "text"), sets_of, percent)
+    return _verify(small, sets_of, percent).unionByName(large)
+
+
+def _large(members: DataFrame, sets_of: SetsOf, percent: int) -> DataFrame:
+    """Links of families of more than one block."""
+    texts = materialize(
+        members.withColumn("m", _measures(sets_of)("text")).select("node", "root", "text", "m.*"), "large-families")
+    # The order is by size and, as very many sets may have one size, by a part of the node within a size.
+    sized = texts.select("node", "root", "n", "bins").withColumn("place", F.col("n") * 64 + F.pmod(F.xxhash64("node"), F.lit(64)))
     placed = materialize(
-        running_start(texts.select("node", "root", "n", "bins"), "root", "n", ["node"], None)
-        .withColumn("block", F.floor(F.col("start") / BLOCK)).drop("start"), "families",
+        running_start(sized, "root", "place", ["node"], None)
+        .withColumn("block", F.floor(F.col("start") / BLOCK)).drop("start", "place"), "blocks",
     )
-    n_units = max(1, placed.count() // BLOCK)
     own = F.xxhash64("root", "block")
-    inside = placed.select("node", F.pmod(own, F.lit(n_units)).alias("unit"), own.alias("part"), F.lit(0).alias("side"))
+    inside = placed.select("node", own.alias("unit"), own.alias("part"), F.lit(0).alias("side"))
     text = texts.select("node", "text")
     links = materialize(_verify(inside.join(text, "node"), sets_of, percent), "links-inside")
 
