@@ -80,29 +80,33 @@ class Coder:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge the symbols of one word, always the pair with the lowest rank, the leftmost of equals."""
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        n, merges = len(ids), self.merges
         queue = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (found := self.merges.get((ids[i], ids[j]))):
-                heapq.heappush(queue, (found[0], i, ids[i], ids[j], found[1]))
-
         for i in range(n - 1):
-            offer(i)
+            found = merges.get((ids[i], ids[i + 1]))
+            if found:
+                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
+        if not queue:
+            return ids
+        heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
             _rank, i, left, right, merged = heapq.heappop(queue)
             j = after[i]
             if ids[i] != left or j >= n or ids[j] != right:
                 continue
             ids[i], ids[j] = merged, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
+            j = after[i] = after[j]
+            if j < n:
+                before[j] = i
+                found = merges.get((merged, ids[j]))
+                if found:
+                    heapq.heappush(queue, (found[0], i, merged, ids[j], found[1]))
+            j = before[i]
+            if j >= 0:
+                found = merges.get((ids[j], merged))
+                if found:
+                    heapq.heappush(queue, (found[0], j, ids[j], merged, found[1]))
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> list[int]:
