@@ -144,9 +144,12 @@ def _gradients(net: Network, piece: Piece, labels: np.ndarray, weights: np.ndarr
     ]
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64, rate: float = 0.01,
+def train(texts: list[str], labels: list[int], steps: int = 480, batch: int = 64, rate: float = 0.01,
           seed: int = 7) -> Network:
-    """Fit the network with Adam; both labels weigh the same in total, then the bias is set back to their real odds."""
+    """Fit the network with ``steps`` of Adam, a small sample being gone through more often.
+
+    Both labels weigh the same in total, then the bias is set back to their real odds.
+    """
     net = Network.start(seed)
     y = np.asarray(labels, np.float32)
     if not len(y):
@@ -159,20 +162,22 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64
     rng = np.random.default_rng(seed)
     first = [np.zeros_like(w) for w in net.weights()]
     second = [np.zeros_like(w) for w in net.weights()]
-    steps, total = 0, epochs * -(-len(y) // batch)
+    done, per_epoch = 0, -(-len(y) // batch)
+    epochs = -(-steps // per_epoch)
+    total = epochs * per_epoch
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for begin in range(0, len(y), batch):
             rows = order[begin : begin + batch]
             column = pa.array([texts[i] for i in rows], pa.large_string())
             (piece,) = pieces(column, 1 << 62)
-            steps += 1
-            pace = rate * (1 - (steps - 1) / total)
+            done += 1
+            pace = rate * (1 - (done - 1) / total)
             for w, g, m, v in zip(net.weights(), _gradients(net, piece, y[rows], weights[rows] / len(rows)),
                                   first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                w -= pace * (m / (1 - 0.9 ** steps)) / (np.sqrt(v / (1 - 0.999 ** steps)) + 1e-7)
+                w -= pace * (m / (1 - 0.9 ** done)) / (np.sqrt(v / (1 - 0.999 ** done)) + 1e-7)
     net.b3 += np.float32(np.log(share / (1 - share)))
     return net
 

@@ -39,7 +39,7 @@ def test_gradients():
 
 def test_whole_text_counts(spark):
     good, bad = [f"good words here {i} " * (i % 40 + 1) for i in range(90)], [f"good {i} " * i + "BAD!! " * 20 for i in range(90)]
-    net = quality.train(good + bad, [1] * 90 + [0] * 90, epochs=40)
+    net = quality.train(good + bad, [1] * 90 + [0] * 90, steps=120)
     (piece,) = pieces(pa.array(["good words here " * 500, "good words here " * 500 + "BAD!! " * 60]), 1 << 30)
     first, second = quality.forward(net, net.tables(), piece)
     assert first > 0.5 > second
