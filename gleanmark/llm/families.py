@@ -33,11 +33,17 @@ SetsOf = Callable[[A.Piece], list[np.ndarray]]
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """a, b: links that join all nodes with the same key, if one of them looks it up (``probe``); rows: key, node, probe."""
-    order = Window.partitionBy("key").orderBy(F.desc("probe"), "node")
-    first = F.first(F.struct("probe", "node")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("first", first).where("first.probe and first.node <> node").select(
-        F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    """a, b: links that join all nodes with the same key; rows: key, node.
+
+    Where ``rows`` also says which of them look their key up (``probe``), only keys that one looks up join.
+    """
+    probe = "probe" in rows.columns
+    order = Window.partitionBy("key").orderBy(*([F.desc("probe")] if probe else []), "node")
+    order = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.withColumn("first", F.first("node").over(order))
+    if probe:
+        met = met.withColumn("looked", F.first("probe").over(order)).where("looked")
+    return met.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
 
 
 class _Forest:

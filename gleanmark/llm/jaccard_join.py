@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
@@ -34,7 +34,7 @@ from gleanmark.llm.families import meeting, verified
 from gleanmark.session import materialize
 
 COST_SAMPLE = 16
-HOT_AT, HOT_LIST = 4, 1 << 17
+HOT_AT, HOT_LIST = 4, 1 << 15
 DELETION_SHARE = 16
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
@@ -69,11 +69,14 @@ class Rule:
         return 100 * n // self.percent
 
     def segments(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of segments of a band, and how many of them have one-deletion neighbourhoods in the index."""
+        """Number of segments of a band, and how many of them have one-deletion neighbourhoods in the index.
+
+        There is a segment for every unit that any set may need. The neighbourhoods come on top, so that sets can skip
+        some segments: empty ones, which very many sets share, and hot ones.
+        """
         top = self.low(np.asarray(band) + 1) - 1
         units = self.most_apart(top, self.largest_partner(top)) + 1
-        deletions = np.where(units > 1, np.maximum(1, units // DELETION_SHARE), 0)
-        return np.maximum(1, units - deletions), deletions
+        return units, np.where(units > 1, np.minimum(units, np.maximum(2, units // DELETION_SHARE)), 0)
 
 
 class Sets:
@@ -86,13 +89,8 @@ class Sets:
         counts = np.diff(w.first)
         short = np.flatnonzero((counts > 0) & (counts < words))
         whole = A.mix(A.run_hashes(hashes, w.first[short], w.first[short + 1]) + _SALT)
-        text, values = np.concatenate([g.text, short]), np.concatenate([g.hashes, whole])
-        order = np.lexsort((values, text))
-        text, values = text[order], values[order]
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (values[1:] != values[:-1])
-        self.text, self.values = text[new], values[new]
-        self.first = np.searchsorted(self.text, np.arange(piece.n + 1))
+        values, text = np.concatenate([g.hashes, whole]), np.concatenate([g.text, short])
+        self.values, self.first = A.sorted_sets(values, text, piece.n)
         self.n = np.diff(self.first)
         sums = np.zeros(len(self.values) + 1, np.uint64)
         np.cumsum(A.mix(self.values ^ _SALT), out=sums[1:])
@@ -243,10 +241,10 @@ def met(docs: DataFrame, rule: Rule) -> DataFrame:
 def links(docs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
     """a, b: exact links between nodes that span the components. ``known``: doc_key, n, node of ``docs``, written."""
     families = connected(met(docs, rule))
-    chosen = known.join(families, "node").groupBy("node").agg(
-        F.min("root").alias("root"), F.min("doc_key").alias("chosen_key"))
+    chosen = known.groupBy("node").agg(F.min("doc_key").alias("chosen_key")).join(families, "node")
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
-    members = keyed.join(chosen, F.col("doc_key") == F.col("chosen_key")).dropDuplicates(["node"])
+    once = F.row_number().over(Window.partitionBy("doc_key").orderBy("doc_key"))
+    members = keyed.join(chosen, F.col("doc_key") == F.col("chosen_key")).withColumn("nth", once).where("nth = 1")
     words = rule.words
 
     def sets_of(piece: A.Piece) -> list[np.ndarray]:
