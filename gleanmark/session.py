@@ -20,6 +20,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     J.last_key_wins(spark)
+    # Arrow batches of long texts must not fill a task's memory.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     tasks = spark.sparkContext.environment
     paths = [p for p in tasks.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
