@@ -68,6 +68,15 @@ class Rule:
     def largest_partner(self, n: np.ndarray) -> np.ndarray:
         return 100 * n // self.percent
 
+    def units(self, n: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """Units that a set of size ``n`` looks up to meet every partner of at most ``top`` shingles.
+
+        ``most_apart`` goes up and down by one from a total size to the next, but never falls over two of them, so the
+        largest total and the one before it bound all partners.
+        """
+        partner = np.minimum(self.largest_partner(n), top)
+        return np.maximum(self.most_apart(n, partner), self.most_apart(n, partner - 1)) + 1
+
     def segments(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of segments of a band, and how many of them have one-deletion neighbourhoods in the index.
 
@@ -136,8 +145,7 @@ def signatures(sets: Sets, rows: np.ndarray, band: np.ndarray, rule: Rule, hot:
     unit_owner = np.concatenate([bin_owner, bin_owner[deletable]])
     unit_price = np.concatenate([price, price[deletable] + 0.5 + held[deletable] * 1e-3])
     top = rule.low(band + 1) - 1
-    partner = np.minimum(rule.largest_partner(n), top)
-    need = rule.most_apart(n, np.maximum(partner, np.minimum(n, top))) + 1
+    need = rule.units(n, top)
     order = np.lexsort((np.arange(len(unit_owner)), unit_price, unit_owner))
     rank = np.empty(len(order), np.int64)
     n_units = m + np.bincount(bin_owner[deletable], minlength=len(rows))

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from gleanmark.llm import families, jaccard_join
-from gleanmark.llm.arrays import pieces
+from gleanmark.llm.arrays import mix, pieces
 from gleanmark.llm.jaccard_join import Rule, Sets, signatures
 
 from . import brute
@@ -74,6 +74,43 @@ def test_every_allocation_meets():
         assert set(probe[0][probe[2]].tolist()) & set(index[0].tolist())
 
 
+def set_pair(values):
+    """Sets of given shingle hashes."""
+    sets = Sets.__new__(Sets)
+    sets.values = np.concatenate([np.sort(v) for v in values])
+    sets.n = np.array([len(v) for v in values])
+    sets.first = np.concatenate([[0], np.cumsum(sets.n)])
+    return sets
+
+
+@pytest.mark.parametrize("rule", [Rule(4, 85), Rule(5, 80), Rule(2, 50)])
+def test_every_size_pair_meets(rule):
+    """Sets as far apart as links allow meet, with one differing shingle in each of the segments looked up first."""
+    rng, missed, band_of = np.random.default_rng(9), [], {n: int(rule.band(np.array([n]))[0]) for n in range(1, 200)}
+    pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    for low in range(1, 61):
+        band = np.array([band_of[low]])
+        m = int(rule.segments(band)[0][0])
+        segment = (mix(pool + jaccard_join._SALT) % np.uint64(m)).astype(int)
+        for high in range(low, int(rule.largest_partner(np.array(low))) + 1):
+            apart = int(rule.most_apart(np.array(low), np.array(high)))
+            same = (low + high - apart) // 2
+            assert apart < m and 100 * same >= rule.percent * (low + high - same)
+            stack = {i: list(np.flatnonzero(segment == i)) for i in range(m)}
+            differing = [stack[i].pop() for i in range(apart)]
+            shared = [stack[i % m].pop() for i in range(same)]
+            sets = set_pair([pool[shared + differing[: low - same]], pool[shared + differing[low - same :]]])
+            index = signatures(sets, np.array([0]), band, rule, NONE, NONE, True)
+            own = band_of[high] == band_of[low]
+            probe = signatures(sets, np.array([1]), band, rule, NONE, NONE, own)
+            met = set(probe[0][probe[2]].tolist()) & set(index[0].tolist())
+            if own:
+                met |= set(index[0][index[2]].tolist()) & set(probe[0].tolist())
+            if not met:
+                missed.append((low, high))
+    assert not missed
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     rows = jaccard_join.similar(odd_documents, Rule(4, 85)).collect()
     assert len(rows) == odd_documents.count()
