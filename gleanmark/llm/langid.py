@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
@@ -28,6 +28,7 @@ from gleanmark.llm.frames import remainder
 
 NGRAMS, AFFIXES, BITS, SEGMENT = (1, 2, 3), (2, 3, 4), 17, 128
 UNDECIDED = "und"
+DEALT = 64
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _ASCII_LETTER = np.zeros(256, bool)
@@ -259,17 +260,31 @@ def _expected(emitted: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray,
 
 
 def labelled_sample(docs: DataFrame, rows: int = 1600, sample_bytes: int = 8 << 20) -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from; rows whose crc32(doc_id as text) mod 3 is 1 are held out."""
-    given = (
+    """Texts and languages to learn from; rows whose crc32(doc_id as text) mod 3 is 1 are held out.
+
+    At most ``rows`` rows and ``sample_bytes`` bytes: the first row of every language by a hash of the id, then the second
+    of every language, and so on. Texts that do not fit are skipped. Each language is first cut to some rows of each of
+    ``DEALT`` parts, so that no task sorts all rows of a language.
+    """
+    known = (
         docs.where((remainder("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", F.octet_length("text").alias("size"))
-        .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "size").limit(rows).collect()
+        .groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max(F.octet_length("text")).alias("size"))
+        .where(F.col("size") <= sample_bytes)
+        .select("doc_id", "lang", "size", F.md5(F.col("doc_id").cast("string")).alias("hash"),
+                F.pmod(F.xxhash64("doc_id"), F.lit(DEALT)).alias("part"))
+    )
+    in_part = Window.partitionBy("lang", "part").orderBy("hash", "doc_id")
+    of_language = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    given = (
+        known.withColumn("nth", F.row_number().over(in_part)).where(F.col("nth") <= max(1, 4 * rows // DEALT))
+        .withColumn("nth", F.row_number().over(of_language))
+        .orderBy("nth", "hash", "doc_id").limit(rows).collect()
     )
     chosen, total = [], 0
     for r in given:
+        if total + r["size"] > sample_bytes:
+            continue
         total += r["size"]
-        if total > sample_bytes:
-            break
         chosen.append(r["doc_id"])
     if not chosen:
         return [], []

@@ -186,7 +186,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = 2500, sample
                     label: str = "quality") -> tuple[list[str], list[int]]:
     """Texts and labels to learn from: at most ``rows`` rows and ``sample_bytes`` bytes, first by a hash of the id.
 
-    Rows whose crc32(doc_id as text) mod 5 is 0 are held out; nulls in id, text or label are left out.
+    A text that does not fit is skipped. Rows whose crc32(doc_id as text) mod 5 is 0 are held out; nulls in id, text or
+    label are left out.
     """
     given = (
         labels.where((remainder("doc_id", 5) != 0) & F.col(label).isNotNull())
@@ -200,9 +201,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = 2500, sample
     sizes = wanted.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).collect()
     chosen, total = [], 0
     for r in sorted(sizes, key=lambda r: rank[r["doc_id"]]):
+        if total + r["size"] > sample_bytes:
+            continue
         total += r["size"]
-        if total > sample_bytes:
-            break
         chosen.append(r["doc_id"])
     if not chosen:
         return [], []

@@ -1,3 +1,6 @@
+import hashlib
+import zlib
+
 import numpy as np
 
 from gleanmark.llm import langid
@@ -54,3 +57,16 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert langid.labelled_sample(no_documents) == ([], [])
     nothing = langid.train([], [])
     assert {r["lang_pred"] for r in langid.identified(odd_documents, nothing).collect()} == {"und"}
+
+
+def test_sample_skips_long_texts_and_has_all_languages(spark):
+    ids = sorted((i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: hashlib.md5(str(i).encode()).digest())
+    rows = [(i, f"text {i} of the usual length", "en") for i in ids]
+    rows[0] = (ids[0], "long " * 1000, "en")
+    rows[-1] = (ids[-1], "un texte rare", "fr")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    texts, langs = langid.labelled_sample(docs, rows=20, sample_bytes=2000)
+    assert len(texts) == 20 and set(langs) == {"en", "fr"}
+    assert "un texte rare" in texts and not any(t.startswith("long") for t in texts)
+    texts, _ = langid.labelled_sample(docs, rows=200, sample_bytes=2000)
+    assert 1900 < sum(len(t) for t in texts) <= 2000

@@ -1,3 +1,6 @@
+import hashlib
+import zlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -64,3 +67,11 @@ def test_odd_rows(odd_documents, no_documents, spark):
     assert quality.scored(no_documents, net).count() == 0
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     assert quality.labelled_sample(odd_documents, labels) == ([], [])
+
+
+def test_sample_skips_long_texts(spark):
+    ids = sorted((i for i in range(60) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).digest())
+    docs = spark.createDataFrame([(i, "long " * 1000 if i == ids[0] else f"text {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    texts, y = quality.labelled_sample(docs, labels, sample_bytes=2000)
+    assert texts == [f"text {i}" for i in ids[1:]] and y == [i % 2 for i in ids[1:]]
