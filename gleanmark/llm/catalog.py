@@ -5,7 +5,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmark.llm import bpe, fingerprints, html_extraction, jaccard_join, langid, licenses, line_dedup, line_rules, mixing, quality
+from gleanmark.llm import (
+    bpe, fingerprints, html_extraction, jaccard_join, langid, lexical_search, licenses, line_dedup, line_rules, mixing, packing, quality,
+    spelling,
+)
 from gleanmark.llm.frames import documents, prepared
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -213,6 +216,107 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), sizes AS (
+  SELECT row, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0
+), total AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS l FROM sizes
+), tfs AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY row, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tfs, total GROUP BY term
+), items AS (
+  SELECT DISTINCT item_id, text FROM benchmark
+), asked AS (
+  SELECT item_id, text, term, count(*) AS r FROM (
+    SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items
+  ) GROUP BY item_id, text, term
+), gains AS (
+  SELECT row, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // l)) AS gain
+  FROM tfs JOIN sizes USING (row), total
+), scores AS (
+  SELECT a.item_id, a.text, g.row, sum(a.r * w.w * g.gain)::BIGINT AS score
+  FROM asked a JOIN weights w USING (term) JOIN gains g USING (term) GROUP BY a.item_id, a.text, g.row
+), ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id ASC NULLS LAST)::INT AS rank
+  FROM scores JOIN sizes USING (row) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "source")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def _crc_table() -> list[int]:
+    """Table of the reflected CRC-32 polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY id, run
+), coded AS (
+  SELECT *, hex(encode(id || ':' || run)) AS h FROM counted
+), hashed AS (
+  SELECT id, run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)),
+           lambda c, b: xor(c >> 8, ({_crc_table()})[(xor(c, b) & 255) + 1]))) AS h
+  FROM coded
+), written AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM written WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), gaps AS (
+  SELECT word, i, word[:i - 1] || word[i + 1:] AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, g.rest FROM gaps g JOIN words w ON g.rest = w.word
+  UNION SELECT g.rest, g.word FROM gaps g JOIN words w ON g.rest = w.word
+), best AS (
+  SELECT x.word, count(*) AS n_near, arg_min(x.near, (-w.n, x.near)) AS form, max(w.n) AS form_n
+  FROM near x JOIN words w ON w.word = x.near GROUP BY x.word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), path AS (
+  SELECT word, form, word AS root FROM forms
+  UNION ALL
+  SELECT p.word, f.form, f.word FROM path p JOIN forms f ON p.form = f.word
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, p.root
+FROM forms f JOIN path p ON p.word = f.word AND p.form IS NULL
+"""
+
+
 QUERIES: dict[str, tuple] = {
     "op1_quality_classifier": (op1_quality_classifier, None),
     "op2_html_extraction": (op2_html_extraction, None),
@@ -224,6 +328,9 @@ QUERIES: dict[str, tuple] = {
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_fingerprints": (op10_fingerprints, None),
+    "op11_lexical_search": (op11_lexical_search, OP11_SQL),
+    "op12_mixture_packing": (op12_mixture_packing, None),
+    "op13_spelling_variants": (op13_spelling_variants, OP13_SQL),
 }
 
 

@@ -16,13 +16,18 @@ COLUMNS = {
     "op8_line_dedup": "doc_id n_chars text_sha256",
     "op9_language_id": "doc_id held_out lang_pred score",
     "op10_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op11_lexical_search": "item_id rank doc_id score",
+    "op12_mixture_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op13_spelling_variants": "word form root n n_near form_n",
 }
+#: Queries with a row for every row of a table; of the others, the numbers of rows follow from their SQL or own tests.
+PER_ROW = {name: "pages" if name.startswith("op2") else "documents" for name in sorted(COLUMNS) if int(name[2:].split("_")[0]) <= 10}
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
@@ -46,7 +51,8 @@ def test_query(spark, duck, name):
     out = catalog.queries()[name](spark, SF)
     assert set(COLUMNS[name].split()) <= set(out.columns)
     got = out.toPandas()
-    table = "pages" if name.startswith("op2") else "documents"
-    assert len(got) == duck.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
+    assert len(got) > 0
+    if name in PER_ROW:
+        assert len(got) == duck.execute(f"SELECT count(*) FROM {PER_ROW[name]}").fetchone()[0]
     if name in catalog.oracle_sql():
         assert rows_of(got) == rows_of(duck.execute(catalog.oracle_sql()[name]).df())
