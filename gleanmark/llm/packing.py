@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
@@ -58,13 +57,14 @@ class Encoder:
         self.core = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = len(coder.bytes_of)
 
-    def encode(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> np.ndarray:
+        return self.core.encode_to_numpy(text, disallowed_special=())
+
+    def encode(self, text: str) -> np.ndarray:
         if not self.special or not any(s in text for s in self.special):
-            return self.core.encode_ordinary(text)
-        out = []
-        for part in self.specials.split(text):
-            out += [self.special[part]] if part in self.special else self.core.encode_ordinary(part)
-        return out
+            return self._plain(text)
+        return np.concatenate([np.array([self.special[part]], np.uint32) if part in self.special else self._plain(part)
+                               for part in self.specials.split(text)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -101,9 +101,10 @@ class Shares:
         i = bisect_right(self.sums, x) - 1
         return self.times[i] + (x - self.sums[i]) / self.rates[i] if i < self.n else self.times[-1]
 
-    def goal(self, x: int) -> np.ndarray:
-        """Target tokens of every queue after ``x`` tokens of the mix."""
-        return np.minimum(self.total_array, float(self.time(x)) * self.weight_array)
+    def goals(self, x: np.ndarray, queues: np.ndarray) -> np.ndarray:
+        """Target tokens of some queues after each of ``x`` tokens of the mix."""
+        times = np.array([float(self.time(int(v))) for v in x])
+        return np.minimum(self.total_array[queues], times[:, None] * self.weight_array[queues])
 
     def tokens_until(self, queue: int, place: int) -> int:
         """About how long the mix is when token ``place`` of a queue comes."""
@@ -146,44 +147,55 @@ def fill(sizes: list[int], queues: list[list[int]], shares: Shares, before: int,
     ``queues``: for every queue the lengths of its documents' parts in order; together they are as long as all sequences.
     ``before``: length of the mix before the first sequence. ``start`` counts from the start of a part.
     """
-    served = np.array(shares.at(before), np.float64)
-    left = np.array([sum(q) for q in queues], np.int64)
-    waiting = [deque((i, 0, n) for i, n in enumerate(q)) for q in queues]
     out: list[list[int]] = []
-    done = before
-
-    def serve(q: int, tokens: int, sequence: int, offset: int) -> None:
-        served[q] += tokens
-        left[q] -= tokens
+    # Queues that hold tokens; for each its deficit against the last goal, what is left, the part at its head and how
+    # much of that went already.
+    names = [q for q, parts in enumerate(queues) if parts]
+    lengths = [queues[q] for q in names]
+    left = [sum(parts) for parts in lengths]
+    head, gone = [0] * len(names), [0] * len(names)
+    held = np.array(names, np.int64)
+    goals = shares.goals(before + np.cumsum([0, *sizes]), held)
+    deficit = (goals[0] - np.array(shares.at(before), np.float64)[held]).tolist()
+    growth = np.diff(goals, axis=0)
+
+    def serve(k: int, tokens: int, sequence: int, offset: int) -> None:
+        deficit[k] -= tokens
+        left[k] -= tokens
+        parts, i, start = lengths[k], head[k], gone[k]
+        piece = out[-1] if out else None
+        if piece and piece[0] == sequence and piece[2] == names[k] and piece[3] == i and start:
+            m = min(parts[i] - start, tokens)
+            piece[5] += m
+            start += m
+            offset += m
+            tokens -= m
         while tokens:
-            i, start, n = waiting[q][0]
-            m = min(n, tokens)
-            piece = out[-1] if out else None
-            if piece and piece[0] == sequence and piece[2] == q and piece[3] == i:
-                piece[5] += m
-            else:
-                out.append([sequence, offset, q, i, start, m])
-            if m == n:
-                waiting[q].popleft()
-            else:
-                waiting[q][0] = (i, start + m, n - m)
+            if start == parts[i]:
+                i, start = i + 1, 0
+            m = min(parts[i] - start, tokens)
+            out.append([sequence, offset, names[k], i, start, m])
+            start += m
             offset += m
             tokens -= m
+        if start == parts[i]:
+            i, start = i + 1, 0
+        head[k], gone[k] = i, start
 
     for sequence, size in enumerate(sizes):
-        done += size
-        goal, room = shares.goal(done), size
-        turn = sequence % len(queues)
-        due = np.minimum(np.floor(goal - served).astype(np.int64), left)
-        for q in np.roll(np.arange(len(queues)), -turn)[np.roll(due > 0, -turn)].tolist():
-            take = min(int(due[q]), room)
-            if take >= least or (take and take >= waiting[q][0][2]):
-                serve(q, take, sequence, size - room)
+        room = size
+        for k, more in enumerate(growth[sequence].tolist()):
+            deficit[k] += more
+        turn = sequence % len(names)
+        for k in [*range(turn, len(names)), *range(turn)]:
+            take = min(int(deficit[k]), left[k], room)
+            if take >= least or take > 0 and take >= lengths[k][head[k]] - gone[k]:
+                serve(k, take, sequence, size - room)
                 room -= take
         while room:
-            q = int(np.argmax(np.where(left > 0, goal - served, -np.inf)))
-            take = min(room, int(left[q]), max(least, int(goal[q] - served[q])))
-            serve(q, take, sequence, size - room)
+            _most, k = max((deficit[k], -k) for k in range(len(names)) if left[k])
+            take = min(room, left[-k], max(least, int(deficit[-k])))
+            serve(-k, take, sequence, size - room)
             room -= take
     return [tuple(p) for p in out]
 
@@ -216,12 +228,11 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                      pa.array(ids, pa.binary())], ["source", "doc_id", "chunk", "place", "n", "ids"])
 
             for i, text in enumerate(batch.column(2)):
-                found = coder.encode(text.as_py() or "")
-                found.append(END)
+                found = coder.encode(text.as_py() or "").astype(kind)
                 place.append(places.get(sources[i], 0))
-                n.append(len(found))
-                ids.append(np.array(found, kind).tobytes())
-                places[sources[i]] = place[-1] + len(found)
+                n.append(len(found) + 1)
+                ids.append(found.tobytes() + END.to_bytes(kind.itemsize, "little"))
+                places[sources[i]] = place[-1] + n[-1]
                 size += len(ids[-1])
                 if size >= PIECE_BYTES:
                     yield rows(begin, i + 1)
@@ -317,8 +328,6 @@ def pack(docs: DataFrame, path: str, pattern: str, weights: dict[str | None, int
     known = docs.sparkSession.sparkContext.broadcast((shares.totals, shares.weights))
     parts = dealt(placed, shares, window, group)
     fields = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
-    # A group that fills whole windows numbers them from its own; the last may have some sequences more.
-    first_sequence = group
 
     def filled(table: pa.Table) -> pa.Table:
         shares = Shares(*known.value)
@@ -328,21 +337,22 @@ def pack(docs: DataFrame, path: str, pattern: str, weights: dict[str | None, int
         from_, tokens = table.column("from").to_numpy(), table.column("doc_tokens").to_numpy()
         before = number * window * group
         length = min(shares.total, before + window * group) - before
-        there = np.unique(queue)
         first = np.searchsorted(queue, np.arange(shares.n + 1))
         width = 2 if all(len(i) % 2 == 0 for i in ids) and sum(map(len, ids)) == 2 * length else 4
         queues = [[len(ids[i]) // width for i in range(first[q], first[q + 1])] for q in range(shares.n)]
-        assert len(there) and sum(map(sum, queues)) == length
+        assert sum(map(sum, queues)) == length
         pieces = fill(sequences(length, window), queues, shares, before, least)
-        row = np.array([first[p[2]] + p[3] for p in pieces], np.int64)
-        sequence, offset, start, size = (np.array([p[j] for p in pieces], np.int64) for j in (0, 1, 4, 5))
-        kind = np.dtype(f"<u{width}")
-        cut = [np.frombuffer(ids[r], kind)[a : a + m].astype("<u4").tobytes()
-               for r, a, m in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
+        sequence, offset, of, part, start, size = np.array(pieces, np.int64).T
+        row = first[of] + part
+        begin = np.cumsum([0, *map(len, ids)])[row] // width + start
+        at = np.arange(length) + np.repeat(begin - np.cumsum(size) + size, size)
+        tokens_ = np.frombuffer(b"".join(ids), f"<u{width}")[at].astype("<u4")
+        ends = np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)
+        cut = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(tokens_.tobytes())])
         return pa.table({
             "doc_id": table.column("doc_id").take(pa.array(row)), "source": table.column("source").take(pa.array(row)),
-            "start": pa.array(from_[row] + start), "length": pa.array(size), "ids": pa.array(cut, pa.binary()),
-            "doc_tokens": pa.array(tokens[row]), "sequence_id": pa.array(number * first_sequence + sequence),
+            "start": pa.array(from_[row] + start), "length": pa.array(size), "ids": cut,
+            "doc_tokens": pa.array(tokens[row]), "sequence_id": pa.array(number * group + sequence),
             "offset": pa.array(offset),
         })
 
