@@ -18,7 +18,12 @@ from gleanmark.session import materialize
 def running_total(
     df: DataFrame, keys: Sequence[str], order: str, name: str, value: Column | None = None
 ) -> DataFrame:
-    """Add ``name``: the sum of ``value`` (default: rows) up to and including the row.
+    """Add ``name``: the sum of ``value`` (default: rows) up to and including the row."""
+    return running_totals(df, keys, order, {name: F.lit(1) if value is None else value})
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column]) -> DataFrame:
+    """Add a column for every one of ``values``: its sum up to and including the row, as a whole number.
 
     ``order`` is unique within ``keys``.  Rows are put into ranges of (keys,
     order) of about equal numbers of rows, however dense the values are, and
@@ -26,20 +31,21 @@ def running_total(
     for each of its ranges, give the offsets.
     """
     keys = list(keys)
-    amount = F.lit(1) if value is None else value
-    ranged = df.withColumn("_amount", amount.cast("bigint")).repartitionByRange(*keys, order)
+    amounts = {f"_amount_{name}": value.cast("bigint") for name, value in values.items()}
+    ranged = df.withColumns(amounts).repartitionByRange(*keys, order)
     rows = materialize(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
-    totals = rows.groupBy(*keys, "_range").agg(F.sum("_amount").alias("_total"))
+    totals = rows.groupBy(*keys, "_range").agg(*[F.sum(f"_amount_{n}").alias(f"_total_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    offsets = totals.select(
+        *keys, "_range", *[F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in values])
     upto = (
         Window.partitionBy(*keys, "_range").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         null_safe_join(rows, offsets, [*keys, "_range"])
-        .withColumn(name, F.sum("_amount").over(upto) + F.col("_offset"))
-        .drop("_amount", "_offset", "_range")
+        .withColumns({n: F.sum(f"_amount_{n}").over(upto) + F.col(f"_offset_{n}") for n in values})
+        .drop("_range", *amounts, *[f"_offset_{n}" for n in values])
     )
 
 
