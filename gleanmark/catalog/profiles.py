@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanmark import vocabulary as V
 from gleanmark.catalog.inputs import order_texts, spread, table
 from gleanmark.functions import text as TX
+from gleanmark.operators import dimensions as DIM
 from gleanmark.operators import lengths as L
 
 # Context limits of the models the queries ask about.
@@ -247,6 +248,27 @@ _RESOLVE_TEMPLATE = """SELECT event_id, CASE event_type WHEN 'click' THEN 'DETAI
   ELSE CASE WHEN value > 20 THEN 'MINIMAL_INSTR_FIVESHOT' ELSE 'DEFAULT' END END AS template FROM events"""
 
 
+def resolve_template_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored names of orders against a table of templates, one per order, and a table of older names."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    templates = orders.filter(key % 5 != 0).select(F.concat(F.lit("DETAILED_INSTR_"), key).alias("template"))
+    aliases = orders.filter(key % 4 == 1).select(
+        F.concat(F.lit("OLD "), key).alias("alias"), F.concat(F.lit("DETAILED_INSTR_"), key).alias("template"))
+    own = F.concat(F.lit("DETAILED_INSTR_"), key)
+    stored = orders.select(
+        "o_orderkey",
+        F.when(key % 4 == 0, F.concat(own, F.lit(" "))).when(key % 4 == 1, F.concat(F.lit("OLD "), key))
+        .when(key % 4 == 2, F.concat(own, F.lit("_GUIDANCE"))).alias("name"),
+        F.when(key % 3 == 0, F.concat(F.lit("VLLM_"), own, F.lit("_OUTLINES"))).otherwise("results").alias("folder"),
+    )
+    return DIM.resolve_templates(stored, "name", "folder", templates, aliases, "DEFAULT").select("o_orderkey", "template")
+
+
+_RESOLVE_TEMPLATE_DIM = """SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND (o_orderkey % 4 <> 3 OR o_orderkey % 3 = 0)
+  THEN 'DETAILED_INSTR_' || CAST(o_orderkey AS VARCHAR) ELSE 'DEFAULT' END AS template FROM orders"""
+
+
 QUERIES = {
     "expand_escapes": (expand_escapes, _EXPAND_ESCAPES),
     "answer_text": (answer_text, _ANSWER_TEXT),
@@ -260,4 +282,5 @@ QUERIES = {
     "latest_results": (latest_results, _LATEST_RESULTS),
     "attach_run": (attach_run, _ATTACH_RUN),
     "resolve_template": (resolve_template, _RESOLVE_TEMPLATE),
+    "resolve_template_dim": (resolve_template_dim, _RESOLVE_TEMPLATE_DIM),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanmark import vocabulary as V
 from gleanmark.catalog.inputs import table
+from gleanmark.operators import dimensions as DIM
 from gleanmark.operators import leaderboard as LB
 from gleanmark.operators import runs as R
 from gleanmark.session import materialize
@@ -308,6 +309,62 @@ SELECT model_key, method,
 FROM b"""
 
 
+def _prompt_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with numbered titles, one or two per order; the longer ones end with shorter ones."""
+    key, title = F.col("o_orderkey"), F.concat(F.col("o_custkey").cast("string"), F.lit(".T"))
+    short = F.struct(F.concat(F.lit("P"), key, F.lit("_SHOT")).alias("method"), title.alias("alias"))
+    long = F.when(key % 3 == 0, F.struct(F.concat(F.lit("LONG_P"), key, F.lit("_SHOT")).alias("method"), F.lit("7.L").alias("alias")))
+    return table(spark, sf_dir, "orders").select(F.inline(F.array_compact(F.array(short, long))))
+
+
+def split_quant_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Served methods split by a dimension of more than ten thousand prompts."""
+    key = F.col("o_orderkey")
+    quant = F.when(key % 4 == 0, "Q4_K_M_").when(key % 4 == 1, "q8_0_").when(key % 4 == 2, "").otherwise("fp16_")
+    prompt = F.when(key % 10 == 9, F.concat(F.lit("UNKNOWN"), key)).when(
+        key % 6 < 3, F.concat(F.lit("LONG_P"), key, F.lit("_SHOT"))).otherwise(F.concat(F.lit("P"), key, F.lit("_SHOT")))
+    methods = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("model_key"), F.concat(F.lit("OLLAMA_"), quant, prompt).alias("method"))
+    return DIM.split_quant(methods, "OLLAMA_", _prompt_dimension(spark, sf_dir)).select(
+        "model_key", "method", "quant", "prompt", "title", F.col("column_order.number").alias("number"))
+
+
+_SPLIT_QUANT_DIM = """WITH dim AS (
+  SELECT 'P' || o_orderkey || '_SHOT' AS prompt, CAST(o_custkey AS INT) AS number FROM orders
+  UNION ALL SELECT 'LONG_P' || o_orderkey || '_SHOT', 7 FROM orders WHERE o_orderkey % 3 = 0
+), m AS (
+  SELECT o_orderstatus AS model_key, CASE o_orderkey % 4 WHEN 0 THEN 'Q4_K_M_' WHEN 1 THEN 'q8_0_' WHEN 2 THEN '' ELSE 'fp16_' END ||
+    CASE WHEN o_orderkey % 10 = 9 THEN 'UNKNOWN' || o_orderkey WHEN o_orderkey % 6 < 3 THEN 'LONG_P' || o_orderkey || '_SHOT'
+    ELSE 'P' || o_orderkey || '_SHOT' END AS rest FROM orders
+), s AS (
+  SELECT DISTINCT rest, substr(rest, i) AS ending FROM (SELECT rest, unnest(range(1, length(rest) + 1)) AS i FROM m)
+), f AS (
+  SELECT rest, arg_max(prompt, length(prompt)) AS prompt, arg_max(number, length(prompt)) AS number
+  FROM s JOIN dim ON ending = prompt GROUP BY rest
+), q AS (
+  SELECT model_key, m.rest, coalesce(f.prompt, m.rest) AS prompt, coalesce(f.number, 9999) AS number,
+         CASE WHEN f.prompt IS NULL THEN m.rest ELSE rtrim(left(m.rest, length(m.rest) - length(f.prompt)), '_') END AS quant
+  FROM m LEFT JOIN f USING (rest)
+), t AS (
+  SELECT *, CASE WHEN quant = '' THEN 'Ollama · ' || prompt ELSE upper(left(quant, 1)) || lower(substr(quant, 2)) END AS base FROM q
+)
+SELECT model_key, 'OLLAMA_' || rest AS method, quant, prompt,
+  CASE WHEN count(DISTINCT rest) OVER (PARTITION BY base) > 1 THEN base || ' · ' || prompt ELSE base END AS title, number FROM t"""
+
+
+def method_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and descriptions of the methods of all cells from the dimension."""
+    return DIM.with_alias(_served_cells(spark, sf_dir), DIM.method_dimension(spark)).select(
+        "model_key", "method", "alias", "description", "method_order")
+
+
+_METHOD_DIMENSION = f"""WITH {_SERVED_CTE}, d(method, alias, description) AS (VALUES {", ".join(
+    "('" + "', '".join((m, a, V.METHOD_DESCRIPTIONS[m])) + "')" for m, a in V.METHOD_ALIASES.items())})
+SELECT model_key, s.method, coalesce(alias, list_reduce(list_transform(string_split(s.method, '_'), lambda p: upper(left(p, 1))), lambda a, b: a || b)) AS alias,
+  coalesce(description, s.method) AS description,
+  coalesce(CAST(regexp_extract(alias, '^([0-9]+)[.]', 1) AS INT), 9999) AS method_order FROM s LEFT JOIN d USING (method)"""
+
+
 def derive_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run attributes from events: each type names, decodes and serves differently."""
     kind, value, u = F.col("event_type"), F.col("value"), F.col("u")
@@ -423,6 +480,8 @@ QUERIES = {
     "main_methods": (main_methods, f"WITH {_SERVED_CTE} SELECT * FROM s WHERE method = '{V.BASELINE_METHOD}'"),
     "backend_slice": (backend_slice, _BACKEND_SLICE),
     "split_quant": (split_quant, _SPLIT_QUANT),
+    "split_quant_dim": (split_quant_dim, _SPLIT_QUANT_DIM),
+    "method_dimension": (method_dimension, _METHOD_DIMENSION),
     "derive_method": (derive_method, _DERIVE_METHOD),
     "name_from_file": (name_from_file, _NAME_FROM_FILE),
     "run_counters": (run_counters, _RUN_COUNTERS),

@@ -30,8 +30,13 @@ def one_per_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = SEL.cluster(table(spark, sf_dir, "embeddings"), k=10, restarts=3)
-    return rows.select("vec_id", "cluster")
+    return SEL.cluster(table(spark, sf_dir, "embeddings")).select("vec_id", "cluster")
+
+
+def cluster_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 100 clusters, the best of 10 runs, must fulfil."""
+    return SEL.cluster_invariants(table(spark, sf_dir, "embeddings"), "vec_id").select(
+        "n_rows", "n_misplaced", "n_without_candidate", "cost_is_least")
 
 
 def _folded(col: str = "text") -> Column:
@@ -236,6 +241,8 @@ QUERIES = {
     "drop_labeled": (drop_labeled, _DROP_LABELED),
     "one_per_cluster": (one_per_cluster, "SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label"),
     "cluster_kmeans": (cluster_kmeans, None),
+    "cluster_invariants": (cluster_invariants, """SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_misplaced,
+  CAST(0 AS BIGINT) AS n_without_candidate, true AS cost_is_least FROM embeddings"""),
     "pair_disagreement": (pair_disagreement, _PAIR_DISAGREEMENT),
     "rank_uncertain": (rank_uncertain, _RANK_UNCERTAIN),
     "format_and_content": (format_and_content, _FORMAT_AND_CONTENT),

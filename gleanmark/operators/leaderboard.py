@@ -39,10 +39,14 @@ METRICS = {
 def method_alias(method: Column) -> Column:
     """Short title of a method, else the initials of its parts."""
     titles = F.create_map(*[F.lit(x) for pair in V.METHOD_ALIASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(titles, method), acronym(method))
+
+
+def acronym(method: Column) -> Column:
+    """Initials of the parts of a method's name."""
     parts = F.filter(F.transform(F.split(method, "_"), F.trim), lambda p: p != "")
     initials = F.array_join(F.transform(parts, lambda p: F.upper(F.left(p, F.lit(1)))), "")
-    acronym = F.when(F.size(parts) > 0, initials).otherwise(F.left(F.upper(method), F.lit(4)))
-    return F.coalesce(F.try_element_at(titles, method), acronym)
+    return F.when(F.size(parts) > 0, initials).otherwise(F.left(F.upper(method), F.lit(4)))
 
 
 def alias_number(alias: Column) -> Column:
@@ -180,18 +184,28 @@ def split_quant(df: DataFrame, prefix: str, prompts: Sequence[str] = tuple(V.MET
     baseline, then prompt number, tag and method.
     """
     by_length = sorted(prompts, key=lambda p: -len(p))
-    served = F.col("method").startswith(prefix)
     rest = F.substr("method", F.lit(len(prefix) + 1))
     known = F.get(
         F.filter(F.array(*[F.lit(p) for p in by_length]), lambda p: rest.endswith(p)), F.lit(0)
     )
+    return titled(split_served(df, prefix, known), prefix, method_alias(F.col("prompt")))
+
+
+def split_served(df: DataFrame, prefix: str, known: Column) -> DataFrame:
+    """Add ``quant`` and ``prompt``; ``known`` is the known prompt that a method ends with, else NULL."""
+    served = F.col("method").startswith(prefix)
+    rest = F.substr("method", F.lit(len(prefix) + 1))
     tag = F.rtrim(F.left(rest, F.length(rest) - F.length(known)), F.lit("_"))
-    out = df.withColumns(
+    return df.withColumns(
         {
             "quant": F.when(~served, F.lit("")).otherwise(F.coalesce(tag, rest)),
             "prompt": F.when(~served, F.col("method")).otherwise(F.coalesce(known, rest)),
         }
     )
+
+
+def titled(out: DataFrame, prefix: str, prompt_alias: Column) -> DataFrame:
+    """Add ``title`` and ``column_order`` to methods split into ``quant`` and ``prompt``."""
     parts = F.filter(F.split(F.trim("quant"), "_"), lambda p: p != "")
     title = F.when(F.size(parts) > 0, F.concat_ws(
         "_", F.concat(F.upper(F.left(F.get(parts, F.lit(0)), F.lit(1))),
@@ -209,7 +223,7 @@ def split_quant(df: DataFrame, prefix: str, prompts: Sequence[str] = tuple(V.MET
     is_base = F.col("method") == V.BASELINE_METHOD
     order = F.struct(
         (~is_base).cast("int").alias("group"),
-        F.when(is_base, 0).otherwise(alias_number(method_alias(F.col("prompt")))).alias("number"),
+        F.when(is_base, 0).otherwise(alias_number(prompt_alias)).alias("number"),
         F.when(is_base, "").otherwise(F.col("quant")).alias("quant"),
         F.when(is_base, "").otherwise(F.col("method")).alias("method"),
     )

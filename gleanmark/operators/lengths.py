@@ -223,12 +223,16 @@ def resolve_template(name: Column, folder: Column, templates: Sequence[str], def
         bare = TX.strip(raw)
         cut = [
             F.when(bare.endswith(s), exists(F.left(bare, F.length(bare) - len(s))))
-            for s in ("_OUTLINES", "_GUIDANCE")
+            for s in V.DECODER_SUFFIXES
         ]
         return F.coalesce(exists(bare), exists(F.try_element_at(aliases, bare)), *cut)
 
-    # Folder names of templates; above, the decoder suffixes.
-    hint = TX.blank_to_null(
+    return F.coalesce(resolve(TX.blank_to_null(name)), resolve(template_hint(folder)), F.lit(default))
+
+
+def template_hint(folder: Column) -> Column:
+    """The template that a folder name holds."""
+    # Folder names of templates.
+    return TX.blank_to_null(
         F.regexp_extract(folder, r"(DETAILED_INSTR_[A-Z0-9_]+|MINIMAL_INSTR_[A-Z0-9_]+)", 1)
     )
-    return F.coalesce(resolve(TX.blank_to_null(name)), resolve(hint), F.lit(default))

@@ -1,8 +1,13 @@
 """Choosing examples to label: anti-join, clusters, uncertainty, ranking."""
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,10 @@ from gleanmark import vocabulary as V
 from gleanmark.functions import jsonvalue as J
 from gleanmark.functions import text as TX
 from gleanmark.operators.salvage import locate_json, parse_lenient
+from gleanmark.session import materialize
+
+# Ship the functions below with the tasks: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def drop_labeled(
@@ -32,27 +41,65 @@ def drop_labeled(
     return left.join(known, ["_digest", "_salt"], "left_anti").drop("_digest", "_salt")
 
 
+def _fitted(vectors: DataFrame, k: int, seed: int, restarts: int) -> tuple:
+    """The model with the lowest training cost of ``restarts`` runs, and the cost of each run.
+
+    The driver only ever holds the ``k`` centres of two models.
+    """
+    from pyspark.ml.clustering import KMeans
+
+    points = materialize(vectors.select(vector_to_array("_vector").alias("_point")), "cluster-points").select(
+        array_to_vector("_point").alias("_vector"))
+    best, costs = None, []
+    for i in range(restarts):
+        model = KMeans(k=k, seed=seed + i, featuresCol="_vector", predictionCol="cluster").fit(points)
+        costs.append(model.summary.trainingCost)
+        if costs[-1] == min(costs) and costs[-1] not in costs[:-1]:
+            best = model
+    return best, costs
+
+
 def cluster(
     df: DataFrame, k: int = 100, seed: int = 42, restarts: int = 10, embedding: str = "embedding"
 ) -> DataFrame:
-    """K-means cluster of each row: the best of ``restarts`` runs by training cost.
+    """K-means cluster of each row: the best of ``restarts`` runs by training cost."""
+    vectors = df.withColumn("_vector", array_to_vector(F.col(embedding)))
+    return _fitted(vectors, k, seed, restarts)[0].transform(vectors).drop("_vector")
 
-    The driver only ever holds the ``k`` centres.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
 
+def cluster_invariants(
+    df: DataFrame, key: str, k: int = 100, seed: int = 42, restarts: int = 10, embedding: str = "embedding"
+) -> DataFrame:
+    """What must hold for ``cluster``, measured on its result; one row.
+
+    ``n_rows``; ``n_misplaced``: rows nearer to another centre than to their
+    own; ``n_without_candidate``: clusters with no or several first rows
+    (``one_per_cluster``); ``cost_is_least``: the summed squared distance to
+    the own centres is not above that of any run.  The centres, ``k`` vectors,
+    go to the tasks.
+    """
     vectors = df.withColumn("_vector", array_to_vector(F.col(embedding)))
-    points = vectors.select("_vector").persist()
-    try:
-        models = (
-            KMeans(k=k, seed=seed + i, featuresCol="_vector", predictionCol="cluster").fit(points)
-            for i in range(restarts)
-        )
-        best = min(models, key=lambda m: m.summary.trainingCost)
-    finally:
-        points.unpersist()
-    return best.transform(vectors).drop("_vector")
+    model, costs = _fitted(vectors, k, seed, restarts)
+    centres = np.array(model.clusterCenters())
+    placed = materialize(
+        model.transform(vectors).select(key, "cluster", vector_to_array("_vector").alias("_point")), "clusters")
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            point = np.array(batch["_point"].tolist()).reshape(len(batch), centres.shape[1])
+            squares = ((point[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+            own = squares[np.arange(len(batch)), batch["cluster"].to_numpy()]
+            yield pd.DataFrame({"own": own, "nearest": squares.min(axis=1)})
+
+    measured = placed.select("cluster", "_point").mapInPandas(distances, "own double, nearest double").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("own") > F.col("nearest") + 1e-9).alias("n_misplaced"),
+        (F.coalesce(F.sum("own"), F.lit(0.0)) <= min(costs) * (1 + 1e-9)).alias("cost_is_least"),
+    )
+    first = one_per_cluster(placed.select(key, "cluster"), "cluster", key).groupBy("cluster").agg(F.count(F.lit(1)).alias("_firsts"))
+    clusters = placed.select(F.col("cluster").alias("_cluster")).distinct()
+    without = clusters.join(first, F.col("_cluster") == F.col("cluster"), "left").agg(
+        F.count_if(F.coalesce("_firsts", F.lit(0)) != 1).alias("n")).scalar()
+    return measured.withColumn("n_without_candidate", without)
 
 
 def one_per_cluster(df: DataFrame, cluster: str = "cluster", order: str = "text_index") -> DataFrame:

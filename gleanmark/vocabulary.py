@@ -95,6 +95,33 @@ METHOD_ALIASES = {
     "MA_CRITIC_3AGENTS": "12.MC3",
     "MA_VALIDATION_FIX_2AGENTS_DETAILED_INSTR_ZEROSHOT_BASELINE": "13.MVF2DIZB",
 }
+# Descriptions of the methods.
+METHOD_DESCRIPTIONS = {
+    "DETAILED_INSTR_ZEROSHOT_BASELINE": "Детальный zero-shot промпт (baseline)",
+    "DETAILED_INSTR_ONESHOT": "Детальный one-shot промпт",
+    "MINIMAL_INSTR_FIVESHOT": "Минимальный инструктивный few-shot (5 примеров)",
+    "DETAILED_INSTR_ZEROSHOT_CD_RUS_OUTLINES":
+        "Детальный zero-shot промпт с constrained decoding (outlines) со схемой на русском языке",
+    "DETAILED_INSTR_ONESHOT_CD_RUS_OUTLINES":
+        "Детальный one-shot промпт с constrained decoding (outlines) со схемой на русском языке",
+    "MINIMAL_INSTR_FIVESHOT_CD_RUS_OUTLINES":
+        "Минимальный few-shot промпт с constrained decoding (outlines) со схемой на русском языке",
+    "DETAILED_INSTR_ZEROSHOT_CD_OUTLINES":
+        "Детальный zero-shot промпт с constrained decoding (outlines) с подачей Pydantic-схемы с ключами на английском в промпте",
+    "DETAILED_INSTR_ZEROSHOT_CD_RUS_GUIDANCE":
+        "Детальный zero-shot промпт с constrained decoding (guidance) со схемой на русском языке",
+    "DETAILED_INSTR_ONESHOT_CD_RUS_GUIDANCE":
+        "Детальный one-shot промпт с constrained decoding (guidance) со схемой на русском языке",
+    "MINIMAL_INSTR_FIVESHOT_CD_RUS_GUIDANCE":
+        "Минимальный few-shot промпт с constrained decoding (guidance) со схемой на русском языке",
+    "MA_SIMPLE_4AGENTS": "Рабочий процесс \"Разделение обязанностей\" (4 агента)",
+    "MA_CRITIC_3AGENTS": "Рабочий процесс 3 агента: генератор, критик, исправитель",
+    "MA_VALIDATION_FIX_2AGENTS_DETAILED_INSTR_ZEROSHOT_BASELINE":
+        "Два агента, генерация JSON → валидация Pydantic → при ошибках второй вызов LLM-исправителя по тексту, "
+        "черновику и сообщениям валидации",
+}
+# Endings of stored names that tell the decoder.
+DECODER_SUFFIXES = ("_OUTLINES", "_GUIDANCE")
 # Older template names and their present ones.
 TEMPLATE_ALIASES = {
     "DETAILED_INSTR_ZEROSHOT_BASELINE_OUTLINES_RUS": "DETAILED_INSTR_ZEROSHOT_CD_RUS",

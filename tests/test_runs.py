@@ -1,6 +1,7 @@
 """Run registry, leaderboards, sources, error tables and monitoring."""
 import json
 import os
+import random
 import time
 
 import pytest
@@ -8,8 +9,10 @@ from pyspark.sql import functions as F
 
 from gleanmark import vocabulary as V
 from gleanmark.functions import numbers as N
+from gleanmark.operators import dimensions as DIM
 from gleanmark.operators import errors as ER
 from gleanmark.operators import leaderboard as LB
+from gleanmark.operators import lengths as L
 from gleanmark.operators import runs as R
 from gleanmark.plans import evaluation as EV
 from gleanmark.sources import tables as T
@@ -257,3 +260,42 @@ def test_stream_equals_batch(spark, tmp_path):
         assert got[r.run_id].mean_s == pytest.approx(r.average_response_time_seconds)
     assert (got["r0"].remaining, got["r1"].remaining, got["r2"].remaining) == (50, 0, None)
     assert got["r0"].eta_s == pytest.approx(50 * got["r0"].mean_s)
+
+
+def test_split_quant_from_a_table(spark):
+    methods = ["OLLAMA_Q4_K_M_DETAILED_INSTR_ONESHOT", "OLLAMA_DETAILED_INSTR_ONESHOT", V.BASELINE_METHOD, "OLLAMA_X_Y", "OLLAMA_", "VLLM_P"]
+    df = spark.createDataFrame([("m", x) for x in [*methods, methods[0], None]], "model_key string, method string")
+    shown = lambda out: sorted((str(r.method), r.quant, r.prompt, r.title, r.column_order) for r in out.collect())
+    assert shown(DIM.split_quant(df, "OLLAMA_", DIM.method_dimension(spark))) == shown(LB.split_quant(df, "OLLAMA_"))
+    none = DIM.method_dimension(spark).filter("false")
+    assert {r.prompt for r in DIM.split_quant(df, "OLLAMA_", none).collect()} >= {"X_Y", "DETAILED_INSTR_ONESHOT"}
+
+
+def test_longest_suffix_against_all_pairs(spark):
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choices("ab_", k=n))
+    keys = list({text(rng.randint(1, 4)) for _ in range(30)})
+    names = [text(rng.randint(0, 9)) for _ in range(200)] + [None, "a" * 5000]
+    found = DIM.longest_suffix(spark.createDataFrame([(n,) for n in names], "name string"), "name",
+                               spark.createDataFrame([(k,) for k in [*keys, "", None]], "key string"), "key")
+    wanted = {n: max((k for k in keys if n.endswith(k)), key=len, default=None) for n in names if n}
+    assert {r.name: r.known for r in found.collect()} == {n: k for n, k in wanted.items() if k}
+
+
+def test_templates_from_tables(spark):
+    templates = ["DETAILED_INSTR_ONESHOT", "DETAILED_INSTR_ONESHOT_CD_RUS", "MINIMAL_INSTR_FIVESHOT"]
+    rows = [(" DETAILED_INSTR_ONESHOT ", None), ("DETAILED_INSTR_ONESHOT_OUTLINES_RUS", "x"), ("MINIMAL_INSTR_FIVESHOT_GUIDANCE", "x"),
+            ("unknown", "OLLAMA_MINIMAL_INSTR_FIVESHOT_OUTLINES"), (None, "DETAILED_INSTR_ONESHOT_OUTLINES_RUS"), ("", ""), (None, None)]
+    df = spark.createDataFrame([*rows, rows[0]], "name string, folder string")
+    table = spark.createDataFrame([(t,) for t in templates], "template string")
+    got = DIM.resolve_templates(df, "name", "folder", table, DIM.template_aliases(spark), "D")
+    wanted = df.withColumn("template", L.resolve_template(F.col("name"), F.col("folder"), templates, "D"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_method_dimension(spark):
+    cells = spark.createDataFrame([("m", V.BASELINE_METHOD), ("m", "SOME_OTHER"), ("m", None)], "model_key string, method string")
+    got = {r.method: (r.alias, r.method_order, r.description) for r in DIM.with_alias(cells, DIM.method_dimension(spark)).collect()}
+    wanted = {r.method: (r.alias, r.method_order) for r in LB.with_alias(cells).collect()}
+    assert {m: g[:2] for m, g in got.items()} == wanted
+    assert got["SOME_OTHER"][2] == "SOME_OTHER" and got[V.BASELINE_METHOD][2].endswith("(baseline)")
