@@ -157,11 +157,11 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     The one document of a source in which the target ends is kept whole. Texts move once, to be joined to their number
     of copies; identical rows add up their copies.
     """
-    key, copies, nth = (free_name(docs, w) for w in ("mix_key", "mix_copies", "mix_nth"))
+    key, copies, nth, of = (free_name(docs, w) for w in ("mix_key", "mix_copies", "mix_nth", "mix_of"))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
     taken = mix(keyed.select("doc_id", "source", "text", F.col(key).alias("mix_key")), carry=("doc_id", "mix_key"), **options)
-    times = taken.where("taken > 0").groupBy(F.col("mix_key").alias("k")).agg(
+    times = taken.where("taken > 0").groupBy(F.col("mix_key").alias(of)).agg(
         F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(copies))
     first = Window.partitionBy(key).orderBy(key)
-    joined = keyed.join(times, F.col(key) == F.col("k")).withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
+    joined = keyed.join(times, F.col(key) == F.col(of)).withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
     return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -2,8 +2,10 @@ import pytest
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, "
           "score double, n bigint, node bigint, key string, size bigint, words string, taken int, sketch string, "
-          "root bigint, component_id bigint, line_no int, bucket int, ids string, kept boolean, quality_score double")
-CLASHING = (0.5, 7, 8, "k", 9, "w", 1, "s", 2, 3, 4, 5, "i", False, 0.1)
+          "root bigint, component_id bigint, line_no int, bucket int, ids string, kept boolean, quality_score double, "
+          "k bigint, best boolean, doc_key bigint, `group` bigint, a string, b string, item bigint, queue int, start bigint")
+CLASHING = (0.5, 7, 8, "k", 9, "w", 1, "s", 2, 3, 4, 5, "i", False, 0.1,
+            11, True, 12, 13, "a", "b", 14, 15, 16)
 
 
 @pytest.fixture(scope="session")
