@@ -16,8 +16,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    net = quality.train(*quality.labelled_sample(docs, labels))
-    return quality.scored(docs, net)
+    return quality.scored(docs, quality.trained(docs, labels))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,14 @@ overlapping chunks, a second layer of learned filters reads the chunks, each of
 all chunks, and a logistic unit combines the maxima into one probability. Training and scoring use the same forward
 pass; neither cuts a text.
 
-The network is fitted on the driver from a bounded sample of labelled rows: at most ``rows`` texts of together at
+The network is fitted in one task from a bounded sample of labelled rows: at most ``rows`` texts of together at
 most ``sample_bytes`` bytes, chosen by a hash of the id. Scoring runs in the executors on Arrow batches.
 
 Null and empty texts have one chunk of zero bytes and get its score. Repeated rows are scored each for itself.
 """
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -182,13 +183,8 @@ def train(texts: list[str], labels: list[int], steps: int = 480, batch: int = 64
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = 2500, sample_bytes: int = 24 << 20,
-                    label: str = "quality") -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: at most ``rows`` rows and ``sample_bytes`` bytes, first by a hash of the id.
-
-    A text that does not fit is skipped. Rows whose crc32(doc_id as text) mod 5 is 0 are held out; nulls in id, text or
-    label are left out.
-    """
+def _chosen(docs: DataFrame, labels: DataFrame, rows: int, sample_bytes: int, label: str) -> dict[object, int]:
+    """Ids of the texts to learn from, in order, and their labels."""
     given = (
         labels.where((remainder("doc_id", 5) != 0) & F.col(label).isNotNull())
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -196,19 +192,52 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = 2500, sample
     )
     rank = {r["doc_id"]: i for i, r in enumerate(given)}
     if not rank:
-        return [], []
+        return {}
     wanted = docs.where(F.col("doc_id").isin(list(rank)) & F.col("text").isNotNull())
     sizes = wanted.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).collect()
-    chosen, total = [], 0
+    chosen, total = {}, 0
     for r in sorted(sizes, key=lambda r: rank[r["doc_id"]]):
         if total + r["size"] > sample_bytes:
             continue
         total += r["size"]
-        chosen.append(r["doc_id"])
+        chosen[r["doc_id"]] = given[rank[r["doc_id"]]]["y"]
+    return chosen
+
+
+def _texts(docs: DataFrame, chosen: dict[object, int]) -> DataFrame:
+    return docs.where(F.col("doc_id").isin(list(chosen))).groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = 2500, sample_bytes: int = 24 << 20,
+                    label: str = "quality") -> tuple[list[str], list[int]]:
+    """Texts and labels to learn from: at most ``rows`` rows and ``sample_bytes`` bytes, first by a hash of the id.
+
+    A text that does not fit is skipped. Rows whose crc32(doc_id as text) mod 5 is 0 are held out; nulls in id, text or
+    label are left out. Of a document with several labels the largest counts, of several texts of an id the last.
+    """
+    chosen = _chosen(docs, labels, rows, sample_bytes, label)
     if not chosen:
         return [], []
-    texts = dict(docs.where(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.max("text")).collect())
-    return [texts[i] for i in chosen], [given[rank[i]]["y"] for i in chosen]
+    texts = dict(_texts(docs, chosen).collect())
+    return [texts[i] for i in chosen], list(chosen.values())
+
+
+def trained(docs: DataFrame, labels: DataFrame, rows: int = 2500, sample_bytes: int = 24 << 20,
+            label: str = "quality") -> Network:
+    """The network fitted to ``labelled_sample``, in one task: the driver holds ids and weights, no texts."""
+    chosen = _chosen(docs, labels, rows, sample_bytes, label)
+    if not chosen:
+        return train([], [])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict = {}
+        for batch in batches:
+            texts.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        if texts:
+            net = train([texts[i] for i in chosen], list(chosen.values()))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    return pickle.loads(_texts(docs, chosen).repartition(1).mapInArrow(fit, "net binary").first()["net"])
 
 
 def score(net: Network) -> Column:
