@@ -9,8 +9,7 @@ segments m. Two sets that link differ in at most H shingles, so if a set looks u
   reaches its own H + 1: hot or empty segments are skipped, others give one unit when looked up as they are and a
   second one with their one-deletion neighbourhoods. Costs are frequencies of subsets, estimated on one text in
   ``COST_SAMPLE``; they steer this choice only, any allocation finds every pair.
-* Sets that meet form families, the components of "met"; pairs are verified inside families only, by exact counts
-  (see ``families``).
+* Sets that meet are verified pair by pair, by exact counts (see ``pairs``).
 
 Documents with equal sets are one node from the start, so copies are not expanded. Words are lower-cased (A-Z) runs
 outside white space; a text with fewer words than a shingle has one shingle of all of them. Sets are sets of 64-bit
@@ -24,18 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from gleanmark.llm import arrays as A
+from gleanmark.llm import pairs
 from gleanmark.llm.components import connected
-from gleanmark.llm.families import meeting, verified
 from gleanmark.session import materialize
 
 COST_SAMPLE = 16
 HOT_AT, HOT_LIST = 4, 1 << 15
 DELETION_SHARE = 16
+COMBINED = 1 << 19      # entries that a task combines at a time
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -176,16 +176,21 @@ def signatures(sets: Sets, rows: np.ndarray, band: np.ndarray, rule: Rule, hot:
 
 
 def with_sets(rule: Rule):
-    """Column function: struct of the number of shingles and the node of a text's set."""
+    """Column function: struct of the number of shingles, the node and the histogram of a text's set."""
     words = rule.words
 
-    @arrow_udf("struct<n:bigint,node:bigint>")
+    @arrow_udf("struct<n:bigint,node:bigint,bins:binary>")
     def shingle_set(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            parts = [Sets(p, words) for p in A.pieces(column)]
-            n = np.concatenate([s.n for s in parts] or [np.zeros(0)]).astype(np.int64)
-            node = np.concatenate([s.node for s in parts] or [np.zeros(0)]).astype(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(n), pa.array(node)], ["n", "node"])
+            n, node, bins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for piece in A.pieces(column):
+                s = Sets(piece, words)
+                n.append(s.n)
+                node.append(s.node)
+                bins += [pairs.histogram(s.values[a:b]) for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
+            yield pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(node)), pa.array(bins, pa.binary())],
+                ["n", "node", "bins"])
 
     return shingle_set
 
@@ -221,13 +226,14 @@ def frequent_subsets(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarra
 
 
 def met(docs: DataFrame, rule: Rule) -> DataFrame:
-    """a, b: links that join all sets which meet in a subset that one of them looks up."""
+    """key, a, b: the buckets of sets that meet in a subset which one of them looks up."""
     hot, cost = frequent_subsets(docs, rule)
     shared = docs.sparkSession.sparkContext.broadcast((hot, cost))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, cost = shared.value
         seen: set[int] = set()
+        held, size = [], 0
         for batch in batches:
             for piece in A.pieces(batch.column(0)):
                 sets = Sets(piece, rule.words)
@@ -237,29 +243,36 @@ def met(docs: DataFrame, rule: Rule) -> DataFrame:
                 band = rule.band(sets.n[rows])
                 below = rows[rule.largest_partner(rule.low(band) - 1) >= sets.n[rows]]
                 below = below[rule.band(sets.n[below]) > 0]
-                for found in (signatures(sets, rows, band, rule, hot, cost, True),
-                              signatures(sets, below, rule.band(sets.n[below]) - 1, rule, hot, cost, False)):
-                    key, owner, probe = found
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(sets.node[owner]), pa.array(probe)], ["key", "node", "probe"])
+                for key, owner, probe in (signatures(sets, rows, band, rule, hot, cost, True),
+                                          signatures(sets, below, rule.band(sets.n[below]) - 1, rule, hot, cost, False)):
+                    held.append((key, sets.node[owner], probe))
+                    size += len(key)
+                if size >= COMBINED:
+                    yield pairs.combined(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield pairs.combined(*map(np.concatenate, zip(*held, strict=True)))
 
-    return meeting(docs.select("text").mapInArrow(emit, "key bigint, node bigint, probe boolean"))
+    found = pairs.buckets(docs.select("text").mapInArrow(emit, pairs.ENTRIES))
+    shared.destroy()
+    return found
 
 
 def links(docs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """a, b: exact links between nodes that span the components. ``known``: doc_key, n, node of ``docs``, written."""
-    families = connected(met(docs, rule))
-    chosen = known.groupBy("node").agg(F.min("doc_key").alias("chosen_key")).join(families, "node")
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
-    once = F.row_number().over(Window.partitionBy("doc_key").orderBy("doc_key"))
-    members = keyed.join(chosen, F.col("doc_key") == F.col("chosen_key")).withColumn("nth", once).where("nth = 1")
+    """a, b: exact links between nodes that span the components. ``known``: doc_key, n, node, bins of ``docs``, written."""
+    found = met(docs, rule)
+    nodes = found.select(F.col("a").alias("met_node")).union(found.select("b")).distinct()
+    sketches = materialize(
+        known.join(nodes, F.col("node") == F.col("met_node")).groupBy("node")
+        .agg(F.min(F.struct("doc_key", "n", "bins")).alias("s")).select("node", "s.*"), "sketches")
     words = rule.words
 
     def sets_of(piece: A.Piece) -> list[np.ndarray]:
         s = Sets(piece, words)
         return [s.values[s.first[i] : s.first[i + 1]] for i in range(piece.n)]
 
-    return verified(members.select("node", "root", "text"), sets_of, rule.percent)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
+    return pairs.links(found, sketches, keyed, sets_of, rule.percent)
 
 
 def similar(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
@@ -270,7 +283,7 @@ def similar(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
     docs = docs.select("doc_id", F.col(text).alias("text"))
     known = materialize(
         docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), with_sets(rule)("text").alias("s"))
-        .select("doc_id", "doc_key", "s.n", "s.node"), "shingle-sets",
+        .select("doc_id", "doc_key", "s.*"), "shingle-sets",
     )
     roots = connected(links(docs, known, rule)).select(F.col("node").alias("linked_node"), "root")
     rooted = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("smallest")).join(

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gleanmark.llm import families, jaccard_join
+from gleanmark.llm import families, jaccard_join, pairs
 from gleanmark.llm.arrays import mix, pieces
 from gleanmark.llm.jaccard_join import Rule, Sets, signatures
 
@@ -40,8 +40,10 @@ def near_copies(n, seed, words=120):
     return out
 
 
-def test_large_family_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("paired", [0, 3, 32])
+def test_large_buckets_go_on_in_blocks(spark, monkeypatch, paired):
     monkeypatch.setattr(families, "BLOCK", 16)
+    monkeypatch.setattr(pairs, "PAIRED", paired)
     texts = near_copies(150, 1) + near_copies(90, 2, 60) + near_copies(40, 3, 12)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     rule = Rule(4, 85)
@@ -49,6 +51,60 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert found == expected(docs, rule)[0]
 
 
+def much_alike(n, seed, words=100, own=30):
+    """Sets that share most of their shingles and do not link."""
+    rng = random.Random(seed)
+    base = [f"m{rng.randrange(10**6)}" for _ in range(words)]
+    return [" ".join(base[: words - own] + [f"y{rng.randrange(10**7)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_pairs_compared_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Copies are compared about once each, sets that are much alike only where they met in small buckets."""
+    sent = []
+    compared = pairs.compared
+
+    def counted(rows, *rest):
+        sent.append(rows.count())
+        return compared(rows, *rest)
+
+    monkeypatch.setattr(pairs, "compared", counted)
+    for n in (300, 1200):
+        sent.clear()
+        texts = near_copies(n, 5) + much_alike(n, 6)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+        rows = jaccard_join.similar(docs, Rule(4, 85)).collect()
+        assert {r["component_id"] for r in rows if r["doc_id"] < n} <= {r["doc_id"] for r in rows if r["doc_id"] < n}
+        assert all(r["component_id"] == r["doc_id"] for r in rows if r["doc_id"] >= n)
+        assert sum(sent) < 40 * n, (n, sent)
+    wanted = expected(docs, Rule(4, 85))[0]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == wanted
+
+
+def test_buckets_are_the_same_however_entries_are_combined(spark):
+    rng = np.random.default_rng(3)
+    key, node = rng.integers(0, 40, 3000), rng.integers(0, 1 << 62, 300)[rng.integers(0, 300, 3000)]
+    probe = (node + key) % 23 == 0                       # a set looks a key up wherever its text stands
+    wanted = {}
+    for k in np.unique(key):
+        nodes = set(node[key == k].tolist())
+        if probe[key == k].any() and len(nodes) > 1:
+            wanted[int(k)] = nodes
+    for parts in (1, 7, 300):
+        batches = [pairs.combined(key[i::parts], node[i::parts], probe[i::parts]) for i in range(parts)]
+        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        met = pairs.buckets(spark.createDataFrame(rows, pairs.ENTRIES).repartition(4)).collect()
+        found = {}
+        for r in met:
+            found.setdefault(r.key, set()).update((r.a, r.b))
+        assert found == wanted
+        for k, nodes in wanted.items():                  # the centres of a bucket hang together
+            roots = brute.Forest((x, x) for x in nodes)
+            for r in met:
+                if r.key == k:
+                    roots.join(r.a, r.b)
+            assert len({roots.root(x) for x in nodes}) == 1
+
+
 def test_every_allocation_meets():
     """Any two linked sets meet, also when the costs forbid the segments they share."""
     rng, rule = np.random.default_rng(4), Rule(3, 80)
