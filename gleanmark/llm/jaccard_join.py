@@ -263,8 +263,8 @@ def links(docs: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
     found = met(docs, rule)
     nodes = found.select(F.col("a").alias("met_node")).union(found.select("b")).distinct()
     sketches = materialize(
-        known.join(nodes, F.col("node") == F.col("met_node")).groupBy("node")
-        .agg(F.min(F.struct("doc_key", "n", "bins")).alias("s")).select("node", "s.*"), "sketches")
+        known.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_key", "n", "bins")).alias("s"))
+        .join(nodes, F.col("node") == F.col("met_node")).select("node", "s.*"), "sketches")
     words = rule.words
 
     def sets_of(piece: A.Piece) -> list[np.ndarray]:

@@ -27,27 +27,30 @@ from gleanmark.session import materialize
 
 PAIRED = 32
 BINS = 128
+HOT_RUN = 16
 
 ENTRIES = "part bigint, node bigint, first bigint, probe boolean"
 
 
-def combined(key: np.ndarray, node: np.ndarray, probe: np.ndarray) -> pa.RecordBatch:
+def combined(key: np.ndarray, node: np.ndarray, probe: np.ndarray, hot_run: int = HOT_RUN) -> pa.RecordBatch:
     """``ENTRIES`` of many entries at once, so that a key in very many sets sends one entry from here and not all.
 
-    Of the entries with one key the first goes on under that key, with itself as ``first``: a look-up where there is one,
-    else the smallest node. The others are met already: they name it and lie under a place of their own, the key
-    exclusive-or the node.
+    Entries go on under their key, with themselves as ``first``. Of ``hot_run`` entries or more with one key only the
+    first does: a look-up where there is one, else the smallest node. The others are met already: they name it and lie
+    under a place of their own, the key exclusive-or the node.
     """
     order = np.lexsort((node, ~probe, key))
     key, node, probe = key[order], node[order], probe[order]
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
-    at = np.flatnonzero(head)[np.cumsum(head) - 1] if len(key) else np.zeros(0, np.int64)
-    first = node[at]
-    keep = head | (node != first)
-    part = np.where(head, key, key ^ node)
+    begin = np.flatnonzero(head)
+    run = np.cumsum(head) - 1
+    plain = head | (np.diff(np.append(begin, len(key))) < hot_run)[run]
+    first = np.where(plain, node, node[begin[run]])
+    part = np.where(plain, key, key ^ node)
+    keep = plain | (node != first)
     return pa.RecordBatch.from_arrays(
-        [pa.array(part[keep]), pa.array(node[keep]), pa.array(first[keep]), pa.array(probe[at][keep])],
+        [pa.array(part[keep]), pa.array(node[keep]), pa.array(first[keep]), pa.array(np.where(plain, probe, probe[begin[run]])[keep])],
         ["part", "node", "first", "probe"])
 
 

@@ -89,8 +89,8 @@ def test_buckets_are_the_same_however_entries_are_combined(spark):
         nodes = set(node[key == k].tolist())
         if probe[key == k].any() and len(nodes) > 1:
             wanted[int(k)] = nodes
-    for parts in (1, 7, 300):
-        batches = [pairs.combined(key[i::parts], node[i::parts], probe[i::parts]) for i in range(parts)]
+    for parts, hot_run in ((1, 2), (7, 2), (7, 8), (40, 2), (300, 16)):
+        batches = [pairs.combined(key[i::parts], node[i::parts], probe[i::parts], hot_run) for i in range(parts)]
         rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
         met = pairs.buckets(spark.createDataFrame(rows, pairs.ENTRIES).repartition(4)).collect()
         found = {}
