@@ -146,14 +146,43 @@ WITH sized AS (
 ), goals AS (
   SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM leveled
 ), placed AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target, floor(g.target)::BIGINT AS quota,
+  SELECT s.doc_id, s.source, s.size, g.source_size, g.target, floor(g.target)::BIGINT AS quota,
+         row_number() OVER () AS row,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+), needs AS (
+  SELECT source, ceil(floor(target) / 256)::BIGINT AS need,
+         (sum(ceil(floor(target) / 256)) OVER (ORDER BY source NULLS LAST))::BIGINT AS hi
+  FROM goals WHERE floor(target) > 0
+), points AS (
+  SELECT slot, ((slot % 2147483648) * 1327217885 + (slot // 2147483648) * 7) % 2147483648 / 2147483648::DOUBLE
+               * (SELECT sum(need)::BIGINT FROM needs) AS place
+  FROM (SELECT unnest(range(0, (SELECT sum(need)::BIGINT FROM needs))) AS slot)
+), dealt AS (
+  SELECT slot, source, need, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM points JOIN needs ON place >= hi - need AND place < hi
+), late AS (
+  SELECT n.source, unnest(range(coalesce(d.got, 0), n.need)) AS rank, n.hi - n.need AS lo
+  FROM needs n LEFT JOIN (SELECT source, count(*) AS got FROM dealt GROUP BY source) d ON n.source IS NOT DISTINCT FROM d.source
+), slots AS (
+  SELECT slot, source, rank FROM dealt WHERE rank < need
+  UNION ALL
+  SELECT (SELECT sum(need)::BIGINT FROM needs) + lo + rank, source, rank FROM late
+), passes AS (
+  SELECT row, source, quota, size, start + pass * source_size AS begin
+  FROM (SELECT *, unnest(range(0, 2)) AS pass FROM placed WHERE size > 0)
+), blocks AS (
+  SELECT row, source, unnest(range(begin // 256, (least(begin + size, quota) - 1) // 256 + 1)) AS rank
+  FROM passes WHERE begin < quota
+), found AS (
+  SELECT b.row, min(slot) AS first_slot, count(*) AS n_slots
+  FROM blocks b JOIN slots s ON b.source IS NOT DISTINCT FROM s.source AND b.rank = s.rank GROUP BY b.row
 )
 SELECT doc_id, size, source_size, target,
-       (least(size, greatest(0, quota - start)) + least(size, greatest(0, quota - source_size - start)))::BIGINT AS taken
-FROM placed
+       (least(size, greatest(0, quota - start)) + least(size, greatest(0, quota - source_size - start)))::BIGINT AS taken,
+       first_slot, coalesce(n_slots, 0) AS n_slots
+FROM placed LEFT JOIN found USING (row)
 """
 
 

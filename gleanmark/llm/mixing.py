@@ -108,7 +108,12 @@ def schedule(goals: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2,
         block: int = BLOCK_WORDS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns, source, size, source_size, target, taken of every row of ``docs`` (doc_id, source, text)."""
+    """``carry`` columns, source, size, source_size, target, taken, first_slot and n_slots of every row of ``docs``
+    (doc_id, source, text).
+
+    Slots are places in the order of the mix: ``n_slots`` slots hold words of the document, ``first_slot`` the first of
+    them, null where none is taken.
+    """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = materialize(
         docs.select(*carry, "source", word_count("text").alias("size"), key.alias("key"))
@@ -118,16 +123,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         targets(sized, weights, share, most).withColumn("quota", F.floor("target").cast("long")), "mix-targets"
     )
     taken = pieces_taken(sized, goals, schedule(goals, block), block, carry)
-    return taken.select(*carry, "source", "size", "source_size", "target", "taken")
+    return taken.select(*carry, "source", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def pieces_taken(sized: DataFrame, goals: DataFrame, slots: DataFrame, block: int, carry: tuple[str, ...]) -> DataFrame:
-    """Words of each document that lie in blocks which a slot takes, first and repeated passes together."""
+    """Words of each document that lie in blocks which a slot takes, first and repeated passes together; and the slots."""
     order = ["key", *carry, "size"]
     placed = running_start(sized, "source", "bucket", order, "size")
     known = goals.select(F.col("source").alias("g"), "source_size", "target", "quota")
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("g"))).drop("g")
-    empty = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    none = F.lit(0).cast("long")
+    empty = placed.where("size = 0").withColumns({"taken": none, "first_slot": F.lit(None).cast("long"), "n_slots": none})
     filled = placed.where("size > 0")
     passes = filled.withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(
         F.lit(0), F.ceil(F.col("quota") / F.col("source_size")).cast("int") - 1))))
@@ -140,15 +146,16 @@ def pieces_taken(sized: DataFrame, goals: DataFrame, slots: DataFrame, block: in
         F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)),
     )))
     words = F.least("end", (F.col("piece") + 1) * block) - F.greatest("begin", F.col("piece") * block)
-    taken_slots = slots.select(F.col("source").alias("s"), F.col("rank").alias("r"))
+    taken_slots = slots.select(F.col("source").alias("s"), F.col("rank").alias("r"), "slot")
     joined = blocks.withColumn("words", words).join(
         taken_slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("r")), "left"
     )
     keep = [*carry, "source", "size", "source_size", "target", "start"]
     summed = joined.groupBy(*keep).agg(
-        F.coalesce(F.sum(F.when(F.col("r").isNotNull(), F.col("words"))), F.lit(0)).cast("long").alias("taken")
+        F.coalesce(F.sum(F.when(F.col("r").isNotNull(), F.col("words"))), F.lit(0)).cast("long").alias("taken"),
+        F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"),
     )
-    return summed.unionByName(empty.select(*keep, "taken"))
+    return summed.unionByName(empty.select(*keep, "taken", "first_slot", "n_slots"))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:

@@ -12,7 +12,7 @@ COLUMNS = {
     "op4_jaccard_join": "doc_id n_shingles component_id",
     "op5_line_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op6_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
-    "op7_source_mix": "doc_id size source_size target taken",
+    "op7_source_mix": "doc_id size source_size target taken first_slot n_slots",
     "op8_line_dedup": "doc_id n_chars text_sha256",
     "op9_language_id": "doc_id held_out lang_pred score",
     "op10_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",

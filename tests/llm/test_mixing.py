@@ -91,3 +91,27 @@ def test_copies(spark, odd_documents, no_documents):
     assert mixing.mix(no_documents).count() == 0 and mixing.repeated(no_documents).count() == 0
     empty = spark.createDataFrame([(1, "s", ""), (2, None, None)], "doc_id long, source string, text string")
     assert [r["taken"] for r in mixing.mix(empty).collect()] == [0, 0]
+
+
+def test_slots_of_the_mix_follow_the_shares(spark, monkeypatch):
+    """Every prefix of the slots holds each source near its share of all, and another sequence gives another result."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs, block=16).collect()
+    assert all((r["first_slot"] is None) == (r["taken"] == 0) == (r["n_slots"] == 0) for r in rows)
+    goals = spark.createDataFrame(
+        list({(r["source"], math.floor(r["target"])) for r in rows}), "source string, quota bigint")
+    slots = sorted((r["slot"], r["source"]) for r in mixing.schedule(goals, 16).collect())
+    total = len(slots)
+    share = defaultdict(int)
+    for _slot, source in slots:
+        share[source] += 1
+    held = defaultdict(int)
+    for n, (_slot, source) in enumerate(slots, 1):
+        held[source] += 1
+        if n % 97 == 0:
+            assert all(abs(held[s] - n * share[s] / total) < 25 for s in share), n
+    first = {r["doc_id"]: r["first_slot"] for r in rows}
+    assert min(v for v in first.values() if v is not None) == slots[0][0]
+    monkeypatch.setattr(mixing, "GOLDEN_STEP", 1)
+    plain = {r["doc_id"]: r["first_slot"] for r in mixing.mix(docs, block=16).collect()}
+    assert sum(plain[i] != first[i] for i in first) > 0.9 * sum(v is not None for v in first.values())
