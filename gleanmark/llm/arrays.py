@@ -19,8 +19,8 @@ np.empty(31 << 20, np.uint8)
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 
@@ -80,7 +80,7 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(piece: Piece, outside: np.ndarray = _IS_SPACE) -> Words:
+def words(piece: Piece, outside: np.ndarray = IS_SPACE) -> Words:
     """Find the words of every text; no word crosses from one text into the next. ``outside``: bytes between words."""
     inside = ~outside[piece.data]
     opens = inside.copy()
