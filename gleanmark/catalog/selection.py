@@ -47,7 +47,7 @@ def _three_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three versions of every turn, as if sampled: as is, lower case without e, without th."""
     text = _folded()
     versions = F.array(text, F.replace(F.lower(text), F.lit("e"), F.lit("")), F.replace(text, F.lit("th"), F.lit("")))
-    turns = spread(table(spark, sf_dir, "conversations"))
+    turns = spread(table(spark, sf_dir, "conversations"), rows=5000)
     return turns.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("text_index"), versions.alias("responses")
     )

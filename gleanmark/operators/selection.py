@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from gleanmark import vocabulary as V
 from gleanmark.functions import jsonvalue as J
@@ -108,21 +110,66 @@ def one_per_cluster(df: DataFrame, cluster: str = "cluster", order: str = "text_
     return df.groupBy(F.col(cluster).alias("_cluster")).agg(first).select("_first.*")
 
 
+def _mean_of_pairs(distances: Column, n: Column) -> Column:
+    """Mean of the distances of all pairs of ``n`` items; NULL below two items."""
+    total = F.aggregate(distances, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(n >= 2, total / (n * (n - 1) / 2))
+
+
 def pair_mean(items: Column, distance: Callable[[Column, Column], Column]) -> Column:
     """Mean of ``distance`` over the pairs i<j of a short array; NULL below two items."""
     n = F.size(items)
     of_first = lambda i: F.transform(
         F.sequence(i + 1, n - 1), lambda j: distance(F.get(items, i), F.get(items, j))
     )
-    distances = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), of_first))
-    total = F.aggregate(distances, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(n >= 2, total / (n * (n - 1) / 2))
+    return _mean_of_pairs(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), of_first)), n)
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance in code points, exact at any length.
+
+    A column of the table is two integers, the bits of its steps up and down,
+    so a character of the shorter text costs a few operations on integers
+    (Myers 1999, Hyyrö 2003).
+    """
+    if a == b:
+        return 0
+    if len(a) < len(b):
+        a, b = b, a
+    places: dict[str, int] = {}
+    for i, char in enumerate(a):
+        places[char] = places.get(char, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    rises, falls = full, 0
+    for char in b:
+        at = places.get(char, 0)
+        # Bits past the last character never reach the lower ones; they go from ``falls`` at the end.
+        same = (((at & rises) + rises) ^ rises) | at | falls
+        right = ((falls | (full ^ (same | rises))) << 1) | 1
+        rises, falls = (((rises & same) << 1) | (full ^ (same | right))) & full, right & same
+    return len(b) + rises.bit_count() - (falls & full).bit_count()
+
+
+def _relative_distances(responses: Column) -> Column:
+    """Edit distance of every pair i<j relative to its longer text; NULL where a text is."""
+
+    @arrow_udf("array<double>")
+    def distances(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def relative(a: str | None, b: str | None) -> float | None:
+            return None if a is None or b is None else edit_distance(a, b) / max(len(a), len(b), 1)
+
+        for column in columns:
+            yield pa.array(
+                [None if r is None else [relative(a, b) for i, a in enumerate(r) for b in r[i + 1 :]] for r in column.to_pylist()],
+                pa.list_(pa.float64()),
+            )
+
+    return distances(responses)
 
 
 def generation_disagreement(responses: Column) -> Column:
     """Mean pairwise edit distance relative to the longer response; 0 below two responses."""
-    relative = lambda a, b: F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-    return F.coalesce(pair_mean(responses, relative), F.lit(0.0))
+    return F.coalesce(_mean_of_pairs(_relative_distances(responses), F.size(responses)), F.lit(0.0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

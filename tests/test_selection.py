@@ -152,3 +152,29 @@ def test_pool(spark):
         [("m", "a.csv", 9), ("m", "b.xlsx", 1), ("m", "c.xlsx", 2), ("k", "d.csv", 1)], "model_key string, path string, mtime int"
     )
     assert {r.model_key: r.path for r in SEL.latest_pool(files).collect()} == {"m": "c.xlsx", "k": "d.csv"}
+
+
+def test_edit_distance_equals_the_table(spark):
+    """Bits of whole columns give the distances of the cell-by-cell table, also of long and of wide texts."""
+    import random
+
+    from gleanmark.operators.selection import edit_distance, generation_disagreement
+
+    def by_table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcé😀 ") for _ in range(n))
+    pairs = [(word(rng.randint(0, 9)), word(rng.randint(0, 9))) for _ in range(400)] + [(word(150), word(170)) for _ in range(8)]
+    assert [edit_distance(a, b) for a, b in pairs] == [by_table(a, b) for a, b in pairs]
+
+    rows = [(0, ["abc", "abd", "x"]), (1, ["abc"]), (2, []), (3, None), (4, ["a", None, "b"]), (5, ["", ""]), (6, ["aa", "b"])]
+    got = spark.createDataFrame(rows, "id int, r array<string>").select("id", generation_disagreement(F.col("r")).alias("d"))
+    assert {r["id"]: round(r["d"], 9) for r in got.collect()} == {
+        0: round((1 / 3 + 1 + 1) / 3, 9), 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1}
