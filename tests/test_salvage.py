@@ -239,3 +239,28 @@ def test_render_unknown_template(spark):
     texts = spark.createDataFrame([(1, "t")], "text_index int, text string")
     with pytest.raises(KeyError):
         P.render_prompts(texts, {"a": "{text}"}, names=["b"])
+
+
+def test_lists_and_members_are_seen_without_reading_paths(spark):
+    """Only arrays are arrays, whatever they hold; a member is absent, JSON null or a value."""
+    from pyspark.sql import functions as F
+
+    from gleanmark.functions import jsonvalue as J
+
+    cases = ["[]", "[1]", "[[1], 2]", "[null]", '[{"a": 1}]', "{}", '{"a": [1]}', '{"a": null}', '{"a": 2}', "1", "null", '"[1]"', "x"]
+    df = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("v", J.parse_whole(F.col("t")))
+    rows = df.select("t", J.is_array(F.col("v")).alias("a"), F.to_json(J.get(F.col("v"), "a")).alias("m")).collect()
+    assert {r.t for r in rows if r.a} == set(cases[:5])
+    assert {r.t: r.m for r in rows if r.m is not None} == {'{"a": [1]}': "[1]", '{"a": null}': "null", '{"a": 2}': "2"}
+
+
+def test_tasks_are_bounded_by_rows(spark, tmp_path):
+    from gleanmark.catalog.inputs import TASK_ROWS, spread
+
+    path = str(tmp_path / "t")
+    spark.range(9 * TASK_ROWS + 1).coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    assert spread(table).rdd.getNumPartitions() == 10
+    keyed = spread(table, by="id")
+    sizes = keyed.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 10 and max(sizes) < 1.1 * TASK_ROWS and sum(sizes) == 9 * TASK_ROWS + 1
