@@ -165,6 +165,19 @@ def test_evaluation_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "again" / "responses")).count() == 4
 
 
+def test_rescored_responses_are_dealt_by_text_into_bounded_tasks(spark, monkeypatch):
+    from functools import partial
+
+    monkeypatch.setattr(EV, "spread", partial(EV.spread, rows=10))
+    rows = [(f"r{i % 2}", i // 2, '{"прочее": []}') for i in range(200)]
+    stored = spark.createDataFrame(rows, "run_id string, text_index bigint, json string").coalesce(1)
+    corpus = spark.range(100).select(F.col("id").alias("text_index"), F.lit("{}").alias("truth_json"))
+    dealt = EV.Rescoring(stored, corpus).responses
+    assert dealt.rdd.getNumPartitions() == 20 and dealt.count() == 200
+    places = dealt.select("text_index", F.spark_partition_id().alias("task")).distinct()
+    assert places.count() == 100 and places.select("task").distinct().count() > 10
+
+
 def test_long_texts_are_shortened_in_prompts(spark):
     text = "x" * 600
     columns = "run_id string, text_index bigint, message string, text string, response string, prompt string"
