@@ -13,6 +13,10 @@ from gleanmark import vocabulary as V
 from gleanmark.functions import text as TX
 from gleanmark.operators import leaderboard as LB
 from gleanmark.operators.lengths import template_hint
+from gleanmark.session import materialize
+
+#: Values that the head of a key is hashed to: the table of those that occur has no more rows.
+HEADS = 1 << 16
 
 
 def method_dimension(spark: SparkSession) -> DataFrame:
@@ -40,15 +44,20 @@ def with_alias(cells: DataFrame, dimension: DataFrame) -> DataFrame:
 def longest_suffix(names: DataFrame, name: str, dimension: DataFrame, key: str) -> DataFrame:
     """``name`` and ``known``: the longest ``key`` of the dimension that each distinct name ends with, where there is one.
 
-    Every name sends its endings, none longer than the longest key, to an equi-join.
+    Every name sends its endings, none longer than the longest key, to an equi-join; but those that differ from all keys
+    in their length or their first two characters stay where they are.  The result is written once.
     """
-    keys = dimension.select(F.col(key).alias("_key")).filter(F.length("_key") > 0).distinct()
-    longest = keys.agg(F.coalesce(F.max(F.length("_key")), F.lit(0)).alias("n")).scalar()
+    given = dimension.select(F.col(key).alias("_key")).filter(F.length("_key") > 0)
+    longest = given.agg(F.coalesce(F.max(F.length("_key")), F.lit(0)).alias("n")).scalar()
+    head = F.pmod(F.xxhash64(F.length("_key"), F.left("_key", F.lit(2))), F.lit(HEADS)).cast("int")
+    heads = given.select(head.alias("_head")).distinct()
     size = F.length(name)
     measured = names.select(name).distinct().withColumn("_most", F.least(size, longest)).filter("_most > 0")
-    sent = measured.select(name, F.explode(F.sequence(F.lit(1), F.col("_most"))).alias("_n"))
-    sent = sent.select(name, F.right(name, F.col("_n")).alias("_key"))
-    return sent.join(keys, "_key").groupBy(name).agg(F.max_by("_key", F.length("_key")).alias("known"))
+    endings = measured.select(name, F.explode(F.sequence(F.lit(1), F.col("_most"))).alias("_n"))
+    endings = endings.select(name, F.right(name, F.col("_n")).alias("_key")).withColumn("_head", head)
+    sent = endings.join(F.broadcast(heads), "_head", "left_semi").drop("_head")
+    found = sent.join(given.distinct(), "_key").groupBy(name).agg(F.max_by("_key", F.length("_key")).alias("known"))
+    return materialize(found, "endings")
 
 
 def split_quant(df: DataFrame, prefix: str, dimension: DataFrame) -> DataFrame:

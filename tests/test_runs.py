@@ -295,6 +295,14 @@ def test_longest_suffix_against_all_pairs(spark):
     assert {r.name: r.known for r in found.collect()} == {n: k for n, k in wanted.items() if k}
 
 
+def test_endings_unlike_all_keys_are_not_sent(spark):
+    names = spark.createDataFrame([("x" * 400 + f"Ж{i}_SHOT",) for i in range(20)] + [("nothing",), (None,)], "name string")
+    keys = spark.createDataFrame([(f"Ж{i}_SHOT",) for i in range(0, 20, 2)], "key string")
+    found = DIM.longest_suffix(names, "name", keys, "key")
+    assert {r.known for r in found.collect()} == {f"Ж{i}_SHOT" for i in range(0, 20, 2)} and found.count() == 10
+    assert found.inputFiles()
+
+
 def test_templates_from_tables(spark):
     templates = ["DETAILED_INSTR_ONESHOT", "DETAILED_INSTR_ONESHOT_CD_RUS", "MINIMAL_INSTR_FIVESHOT"]
     rows = [(" DETAILED_INSTR_ONESHOT ", None), ("DETAILED_INSTR_ONESHOT_OUTLINES_RUS", "x"), ("MINIMAL_INSTR_FIVESHOT_GUIDANCE", "x"),
