@@ -11,6 +11,7 @@ from gleanmark.functions import text as TX
 from gleanmark.functions import values as VAL
 from gleanmark.operators import matching as M
 from gleanmark.operators.entries import PREDICTED, TRUTH, explode_entries
+from gleanmark.plans import evaluation as EV
 
 
 def norm(spark, values, strict):
@@ -119,3 +120,26 @@ def test_other_messages_carry_units(spark):
     none = {V.OTHER: [{V.PARAMETER: "m", V.WEIGHT: 50, V.UNIT: None}]}
     bare = {V.OTHER: [{V.PARAMETER: "m", V.WEIGHT: 50}]}
     assert M.score_texts(entries(spark, [(none, bare)])).first().tp == 1
+
+
+def test_stored_responses_are_read_again_only_as_far_as_needed(spark):
+    rows = [
+        ("r", 1, '{"a": 1}', '{"b": 2}'), ("r", 2, '```json\n{"a": 1}\n``` Ответ: {}', '{"b": 2}'),
+        ("r", 3, "данных нет", '{"b": 2}'), ("r", 4, "данных нет", '{"b": 2'), ("r", 5, "", "[1]"), ("r", 6, None, None),
+    ]
+    df = EV.reparse_stored(spark.createDataFrame(rows, "run_id string, text_index long, json string, json_parsed string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat([, json_parsed#" not in plan
+    got = {r.text_index: (r.p, r.reparsed, r.is_valid) for r in df.select(
+        "text_index", F.to_json("prediction").alias("p"), "reparsed", "is_valid").collect()}
+    assert got[3] == got[4] == ('{"b":2}', False, True)
+    assert got[5] == got[6] == ("{}", False, False)
+    assert got[1] == got[2] == ('{"a":1}', True, True)
+
+
+def test_text_that_no_json_value_starts_with(spark):
+    texts = {"данных нет": None, "": None, None: None, "]": None, ",1": None, " \n[1] ": "[1]", "-1": "-1", "true": "true",
+             "null": "null", '"a"': '"a"', '{"a":1}': '{"a":1}', '{"a":1} x': None, "﻿1": None, "\x0b1": None, "+1": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.to_json(J.parse_whole(F.col("t"))).alias("v"))
+    assert {r.t: r.v for r in df.collect()} == texts
+    assert "RLIKE" in df._jdf.queryExecution().optimizedPlan().toString()
