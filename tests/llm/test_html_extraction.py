@@ -161,3 +161,38 @@ def test_copies_and_blocks_of_a_large_host(spark):
     assert sorted(r["page_id"] for r in by_bytes) == list(range(40)) and all(r["text"].startswith("one") for r in by_bytes)
     empty = spark.createDataFrame([], "page_id long, url string, html string, n_chars int, text string, host string")
     assert H.extract(empty).count() == 0
+
+
+def test_size_of_parts_does_not_change_the_text(spark):
+    """Passages near the limits, copies and long runs on a host and a crawl that are one part or many."""
+    rng = np.random.default_rng(5)
+
+    def own(n: int = 24) -> str:
+        return " ".join(f"w{w}" for w in rng.integers(0, 1 << 40, n))
+
+    menus = [own(10) for _ in range(12)]
+    copied = own(150)
+    rows = []
+    for i in range(90):
+        # Menu number k stands on every (k + 5)-th page, so the share of the pages runs from 0.2 down to 0.06.
+        found = [own(), *(m for k, m in enumerate(menus) if i % (k + 5) == 0), own(), *([copied] if i % 6 == 0 else [])]
+        rows.append((i, f"http://a.example/{i}", "<body>" + "".join(f"<div>{t}</div>" for t in found) + "</body>"))
+    body = f"<p>{own(12)}</p><p>{own(12)}</p>"
+    for i in range(90):
+        passages = "".join(f"<p>{menus[k]}</p>" for k, step in enumerate((10, 5)) if i % step)
+        rows.append((100 + i, f"http://b.example/{i}", f"<body><article>{passages}<p>{own()}</p></article></body>"))
+    rows += [(200 + i, f"http://b.example/c{i}", f"<body><article>{body}</article></body>") for i in range(30)]
+    for i in range(40):
+        rows.append((300 + i, f"http://c{i}.example/", f"<body><div>{menus[2]}</div><div>{own()}</div><div>{copied if i < 2 else own()}</div></body>"))
+    rows += [(400 + i, f"http://d{i}.example/", f"<body><div>{copied}</div></body>") for i in range(5)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    whole = {r["page_id"]: r["text"] for r in H.extract(frame).collect()}
+    cut = {r["page_id"]: r["text"] for r in H.extract(frame, block_pages=9, crawl_pages=13).collect()}
+    assert len(whole) == len(rows) and cut == whole
+
+    # Menus on a tenth of the 90 pages go; in articles, of the passages on 81 and 72 of 91 distinct pages the first.
+    for i in range(90):
+        assert [m in whole[i] for m in menus] == [i % (k + 5) == 0 and -(-90 // (k + 5)) < 9 for k in range(12)]
+    assert not any(menus[0] in whole[100 + i] for i in range(90))
+    assert all((menus[1] in whole[100 + i]) == (i % 5 > 0) for i in range(90))
+    assert all(menus[2] not in whole[300 + i] for i in range(40)) and all(whole[400 + i] == copied for i in range(5))
