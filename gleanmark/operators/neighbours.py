@@ -25,7 +25,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SCORE_SCALE = float(2**50)
 _SLACK = 1e-6
-_CHUNK = 512
+# Distances held at once, values of a block of vectors, and blocks of all vectors.
+_CHUNK = 1 << 22
+_BLOCK_VALUES = 1 << 22
+_BLOCKS = 16
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -43,9 +46,9 @@ def _gap(cosine_distance: np.ndarray) -> np.ndarray:
 def _compare(queries: pd.DataFrame, targets: pd.DataFrame, k: int) -> list[list[float]]:
     """The k smallest cosine distances of each query, without itself."""
     target, target_ids = _matrix(targets["vec"]), targets["id"].to_numpy()
-    best = []
-    for start in range(0, len(queries), _CHUNK):
-        part = queries.iloc[start : start + _CHUNK]
+    best, rows = [], max(1, _CHUNK // max(1, len(targets)))
+    for start in range(0, len(queries), rows):
+        part = queries.iloc[start : start + rows]
         distance = np.clip(1.0 - _matrix(part["vec"]) @ target.T, 0.0, 2.0)
         distance[part["id"].to_numpy()[:, None] == target_ids[None, :]] = np.inf
         if distance.shape[1] > k:
@@ -54,25 +57,33 @@ def _compare(queries: pd.DataFrame, targets: pd.DataFrame, k: int) -> list[list[
     return best
 
 
+def rows_of_block(total: int, width: int, least: int) -> int:
+    """Vectors of a block: a fixed part of all, so that what is sent grows with the table, within a task's memory."""
+    return max(least, min(-(-total // _BLOCKS), _BLOCK_VALUES // max(1, width)))
+
+
 def neighbour_distances(
     df: DataFrame, key: str, embedding: str, k: int, block_rows: int = 1024, pivots: int = 8
 ) -> DataFrame:
     """Mean cosine distance of every vector to its ``k`` nearest others.
 
     ``key`` is a unique integer.  With fewer than ``k`` others all are used; a
-    lone vector scores 0.  ``pivots`` cells are cut into blocks of about
+    lone vector scores 0.  ``pivots`` cells are cut into blocks of at least
     ``block_rows`` vectors.  Where the bounds rule out no cell, as for vectors
     spread evenly in many dimensions, all blocks meet: the cost is that of all
-    pairs, and every vector is sent once for each block it meets.
+    pairs, and every vector is sent once for each block it meets.  So blocks
+    grow with the table, and their number, but for the cells, stays near
+    ``_BLOCKS`` until a block has ``_BLOCK_VALUES`` values.
     """
-    vectors = df.select(
-        F.col(key).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("vec")
-    )
+    given = df.schema[embedding].dataType.simpleString()
+    shape = given if given == "array<float>" else "array<double>"
+    vectors = df.select(F.col(key).cast("bigint").alias("id"), F.col(embedding).cast(shape).alias("vec"))
     total = vectors.count()
     centres = _matrix(
         vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()["vec"]
         if total else pd.Series([[0.0]])
     )
+    block_rows = rows_of_block(total, centres.shape[1], block_rows)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,7 +96,7 @@ def neighbour_distances(
             away = np.where(np.abs(unit).sum(axis=1) == 0, np.inf, away)
             yield batch.assign(cell=cell, away=away)
 
-    placed = vectors.mapInPandas(assign, "id bigint, vec array<double>, cell int, away double")
+    placed = vectors.mapInPandas(assign, f"id bigint, vec {shape}, cell int, away double")
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).toPandas()
     blocks = np.ones(len(centres), dtype=np.int64)
     radius = np.full(len(centres), -1.0)
@@ -105,7 +116,7 @@ def neighbour_distances(
 
     bounded = materialize(
         placed.select("id", "vec", "cell", "block").groupBy("cell", "block").applyInPandas(
-            within, "id bigint, vec array<double>, cell int, block int, bound double"
+            within, f"id bigint, vec {shape}, cell int, block int, bound double"
         ),
         "neighbours",
     )
@@ -117,9 +128,9 @@ def neighbour_distances(
             reach = np.where(np.abs(unit).sum(axis=1) == 0, np.inf, reach)
             needed = (_gap(1.0 - unit @ centres.T) - radius <= reach[:, None]) & used
             row, cell = np.nonzero(needed)
-            yield batch.iloc[row][["id", "vec"]].assign(cell=cell.astype(np.int32))
+            yield batch.iloc[row][["id", "vec", "bound"]].assign(cell=cell.astype(np.int32))
 
-    queries = bounded.mapInPandas(route, "id bigint, vec array<double>, cell int")
+    queries = bounded.mapInPandas(route, f"id bigint, vec {shape}, bound double, cell int")
     # In a cell every target block meets every block of the queries routed there.
     visits = np.ones(len(centres), dtype=np.int64)
     for row in queries.groupBy("cell").count().toPandas().itertuples():
@@ -138,16 +149,16 @@ def neighbour_distances(
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "best": pd.Series(dtype=object)})
-        return pd.DataFrame({"id": left["id"].to_numpy(), "best": _compare(left, right, k)})
+        limits = left["bound"].to_numpy() + _SLACK
+        best = [[d for d in found if d <= limit] for found, limit in zip(_compare(left, right, k), limits)]
+        return pd.DataFrame({"id": left["id"].to_numpy(), "best": best})
 
     meeting = ["cell", "block", "query_block"]
     partial = queries.groupBy(*meeting).cogroup(targets.groupBy(*meeting)).applyInPandas(
         meet, "id bigint, best array<double>"
     )
     nearest = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
-    # Two steps, so that no list holds the results of all blocks at once.
-    for keys in (["id", F.pmod(F.hash("best"), F.lit(64)).alias("_part")], ["id"]):
-        partial = partial.groupBy(*keys).agg(nearest.alias("best"))
+    partial = partial.groupBy("id").agg(nearest.alias("best"))
     mean = F.aggregate("best", F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size("best"), F.lit(1))
     return partial.select(F.col("id").alias(key), mean.alias("outlier_score"))
 

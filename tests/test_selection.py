@@ -120,6 +120,17 @@ def test_neighbours_are_exact(spark, block_rows):
     assert (got.is_outlier.to_numpy() == (expected > np.percentile(expected, 95)))[clear].all()
 
 
+def test_vectors_meet_a_bounded_number_of_blocks(spark):
+    for total in (1_000, 20_000, 100_000, 1_000_000):
+        assert -(-total // NB.rows_of_block(total, 64, 1024)) <= 16
+    assert NB.rows_of_block(10**9, 64, 1024) * 64 * 8 <= 1 << 25
+    rng = np.random.default_rng(6)
+    matrix = rng.normal(size=(300, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)], "i bigint, v array<float>")
+    got = NB.knn_outliers(df, "i", "v", k=5, block_rows=1).orderBy("i").toPandas()
+    assert np.abs(got.outlier_score.to_numpy() - brute_scores(matrix.astype(np.float64), 5)).max() < 1e-9
+
+
 def test_lone_vector_is_no_outlier(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "i bigint, v array<double>")
     row = NB.knn_outliers(df, "i", "v").first()
