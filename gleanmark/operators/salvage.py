@@ -201,12 +201,10 @@ def parse_lenient(df: DataFrame, source: str, out: str, closing: str = "counts")
     literal = _python_literal_to_json(_outside_tabs(F.col("_ln_repaired")))
     df = df.withColumn("_ln_literal", F.when(F.col("_ln_parsed").isNull(), literal))
     df = df.withColumn("_ln_parsed", F.coalesce("_ln_parsed", J.parse_whole(F.col("_ln_literal"))))
-    shape = J.kind(F.col("_ln_parsed"))
-    df = df.withColumn("_ln_shape", F.left(shape, F.lit(3)))
+    parsed = F.col("_ln_parsed")
     df = df.withColumn(
-        out,
-        F.when(F.col("_ln_shape").isin("OBJ", "ARR"), F.col("_ln_parsed")).otherwise(J.empty_object()),
-    ).drop("_ln_fragment", "_ln_repaired", "_ln_parsed", "_ln_literal", "_ln_shape")
+        out, F.when(J.is_object(parsed) | J.is_array(parsed), parsed).otherwise(J.empty_object())
+    ).drop("_ln_fragment", "_ln_repaired", "_ln_parsed", "_ln_literal")
     return settle(df, out)
 
 

@@ -264,3 +264,19 @@ def test_tasks_are_bounded_by_rows(spark, tmp_path):
     keyed = spread(table, by="id")
     sizes = keyed.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert len(sizes) == 10 and max(sizes) < 1.1 * TASK_ROWS and sum(sizes) == 9 * TASK_ROWS + 1
+
+
+def test_parse_whole_takes_one_value(spark):
+    """What does not end with the bracket of its first character is no value, also if an end mark follows the value."""
+    whole = ['{"a":1}', ' {"a":[1]}\n', "[1, 2]\t", '"x"', "1.5", "true", "null", '{"a":"}{"}', "[]", "{}"]
+    broken = ['{"a":1', '{"a":1]', "[1", '"x', '{"a":1},"␞"]', '{"a":1} x', "[1]]", "", " ", "нет", '{"a":1}\x0b', "{]", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(whole + broken)], "i int, t string")
+    got = df.select("i", J.parse_whole(F.col("t")).isNotNull().alias("ok")).orderBy("i").collect()
+    assert [r.ok for r in got] == [True] * len(whole) + [False] * len(broken)
+
+
+def test_lenient_keeps_lists_and_objects_only(spark):
+    texts = ['{"a":1}', "[1, 2]", "[[1]]", "[]", '{"a":[1', "1", None]
+    df = S.parse_lenient(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", "v")
+    got = df.orderBy("i").select(F.to_json("v").alias("v")).collect()
+    assert [r.v for r in got] == ['{"a":1}', "[1,2]", "[[1]]", "[]", '{"a":[1]}', "{}", "{}"]
