@@ -67,10 +67,9 @@ def explode_entries(
         *[_cells(F.col(column), grp, side) for side, column in records.items() for grp in groups]
     )
     rows = df.select(*keep, F.inline(cells))
-    rows = rows.withColumn("_parts", VAL.value_parts(F.col("value_raw"))).withColumn(
-        "_value", VAL.norm_value(F.col("_parts"), strict)
-    )
-    rows = settle(rows.drop("_parts"), "_value")
+    # Settled before it is normalized: what a query does not read of the value is not made.
+    rows = settle(rows.withColumn("_parts", VAL.value_parts(F.col("value_raw"))), "_parts")
+    rows = rows.withColumn("_value", VAL.norm_value(F.col("_parts"), strict))
     if not strict:
         rows = rows.filter(F.col("_value.kind") != "null")
     key_text = F.when(J.kind(F.col("key_raw")) == "STRING", F.try_variant_get("key_raw", "$", "string"))

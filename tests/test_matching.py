@@ -143,3 +143,15 @@ def test_text_that_no_json_value_starts_with(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.to_json(J.parse_whole(F.col("t"))).alias("v"))
     assert {r.t: r.v for r in df.collect()} == texts
     assert "RLIKE" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unread_forms_of_values_are_not_made(spark):
+    """Counting matches reads keys of values only, so numbers are not printed; the report of errors prints them."""
+    record = '{"массовая доля": [{"вещество": "N", "массовая доля": [1.5, 2]}]}'
+    rows = spark.createDataFrame([("r", 1, record)], "run_id string, text_index long, s string")
+    rows = rows.withColumns({"p": J.parse_whole(F.col("s")), "t": J.parse_whole(F.col("s"))})
+    for strict in (False, True):
+        entries = explode_entries(rows, {PREDICTED: "p", TRUTH: "t"}, ["run_id", "text_index"], strict)
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (M.match_entries(entries), entries)]
+        assert ["decimal(38,20)" in plan for plan in plans] == [False, True]
+        assert M.match_entries(entries).first().tp == 1
