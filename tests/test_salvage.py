@@ -137,6 +137,40 @@ def test_clean(spark):
     assert len(kept[V.MASS]) == 2 and kept[V.OTHER][0][V.VALUE] == []
 
 
+def test_whole_text_is_parsed_once(spark):
+    plan = spark.range(1).select(J.parse_whole(F.concat(F.lit("[1"), F.col("id").cast("string"), F.lit("]"))).alias("v"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
+    cases = {'{"a":1}': '{"a":1}', ' [1, 2] ': "[1,2]", '{"a":1} {"b":2}': None, "[1],[2]": None, '{"a":1': None, "null": "null",
+             '"x"': '"x"', '"x","y"': None, "1 2": None, "": None, "true": "true", '[1,"␞"]': '[1,"␞"]'}
+    rows = spark.createDataFrame([*enumerate(cases), (len(cases), None)], "i int, s string").orderBy("i")
+    assert [r[0] for r in rows.select(F.to_json(J.parse_whole(F.col("s")))).collect()] == [*cases.values(), None]
+
+
+@pytest.mark.parametrize("drop_empty", [True, False])
+def test_clean_as_text_equals_clean_by_member(spark, drop_empty, monkeypatch):
+    """Numbers, strings and members stay what they are, also where the text would not be exact."""
+    rng = random.Random(7)
+    scalars = ["null", '""', "[]", "{}", "0", "-0", "0.50", "2.0", "1e2", "1e400", "5e-1", "0.1234567890123456789012345678901234567",
+               "123456789012345678901234567890", '"\\u0000n1"', '"a\\"b\\\\"', '"null"', "true", '"\\ud83d\\ude00é"', "[null,null]", '[""]',
+               '[null,[]]', '{"b":null}', '{"a":{"b":[]},"c":1}']
+
+    def entry():
+        keys = rng.sample([V.MASS, V.SUBSTANCE, V.PARAMETER, V.VALUE, "x", ""], rng.randrange(4))
+        return rng.choice(scalars) if rng.random() < 0.15 else "{" + ",".join(f'"{k}":{rng.choice(scalars)}' for k in keys) + "}"
+
+    texts = ["{}", "[null]", "null", '{"a":' * 400 + "null" + "}" * 400]
+    for _ in range(400):
+        members = {V.MASS: rng.choice(scalars) if rng.random() < 0.1 else "[" + ",".join(entry() for _ in range(rng.randrange(4))) + "]",
+                   V.OTHER: "[" + ",".join(entry() for _ in range(rng.randrange(4))) + "]", "extra": rng.choice(scalars)}
+        texts.append("{" + ",".join(f'"{k}":{v}' for k, v in members.items() if rng.random() < 0.8) + "}")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, s string").withColumn("v", J.parse_whole(F.col("s")))
+    out = lambda: S.clean_records(rows, "v", "o", drop_empty).orderBy("i").select(F.to_json("o"), J.kind(F.col("o"))).collect()
+    as_text = out()
+    assert sum(S.cleaned_text(t, drop_empty) is not None for t in texts[4:] if t != "{}") > 60
+    monkeypatch.setattr(S, "cleaned_text", lambda *_: None)
+    assert as_text == out()
+
+
 def test_dedup_cap(spark):
     record = {"a": [{"x": i % 25, "y": 1} for i in range(60)], "b": {"c": [1, 1.0, True, "1"]}, "d": 5}
     rows = spark.createDataFrame([(json.dumps(record),)], "s string").withColumn("v", J.parse_whole(F.col("s")))
